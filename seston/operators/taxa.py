@@ -104,7 +104,7 @@ def resolve_taxa(
 
     picked: list[tuple[str, str]] = []
     for step in steps:
-        tag = f"__{step}"
+        tag = f"__from_{step}"
         if step == "name":
             out = natural_join(out, source(taxonomy, key, tag), "left", [key])
         elif step == "gaps":
