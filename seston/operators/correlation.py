@@ -18,15 +18,16 @@ from seston.operators.summary import complete_rows
 def _pair_stats(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     rows = []
     for a, b in pairs:
-        # corr skips rows that miss either side; a constant side has none
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        r = F.corr(F.col(a).cast("double"), F.col(b).cast("double"))
+        x, y = (F.when(both, F.col(c).cast("double")) for c in (a, b))
+        spread = F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))
         rows.append(
             F.struct(
                 F.lit(a).alias("x"),
                 F.lit(b).alias("y"),
                 F.count_if(both).alias("n"),
-                F.when(~F.isnan(r), r).alias("r"),
+                # a constant side has no correlation
+                (F.covar_pop(x, y) / F.when(spread > 0, spread)).alias("r"),
             )
         )
     return df.agg(F.array(*rows).alias("p")).select(F.inline("p"))
