@@ -119,21 +119,27 @@ def fences(df: DataFrame, col: str, by: Sequence[str] = (), coef: float = 1.5) -
     )
 
 
-def _outside(df: DataFrame, col: str, coef: float) -> Column:
-    lim = fences(df, col, (), coef)
-    low = lim.select("low_fence").scalar()
-    high = lim.select("high_fence").scalar()
-    return (F.col(col) < low) | (F.col(col) > high)
+def _with_fences(df: DataFrame, cols: Sequence[str], coef: float) -> DataFrame:
+    """Add one struct of limits per column, each computed once."""
+    limits = {f"__{c}": fences(df, c, (), coef).select(F.struct("*").alias("f")).scalar() for c in cols}
+    return df.withColumns(limits)
+
+
+def _outside(col: str) -> Column:
+    x, limits = F.col(f"`{col}`"), F.col(f"`__{col}`")
+    return (x < limits["low_fence"]) | (x > limits["high_fence"])
 
 
 def outliers(df: DataFrame, col: str, coef: float = 1.5) -> DataFrame:
     """Rows whose value lies beyond the fences of the column."""
-    return df.filter(_outside(df, col, coef))
+    return _with_fences(df, [col], coef).filter(_outside(col)).drop(f"__{col}")
 
 
 def mask_outliers(df: DataFrame, cols: Sequence[str], coef: float = 1.5) -> DataFrame:
     """Outlying values to NULL, each column by its own fences."""
-    return df.withColumns({c: F.when(~_outside(df, c, coef), F.col(c)) for c in cols})
+    fenced = _with_fences(df, cols, coef)
+    masked = fenced.withColumns({c: F.when(~_outside(c), F.col(f"`{c}`")) for c in cols})
+    return masked.drop(*[f"__{c}" for c in cols])
 
 
 def group_moments(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:

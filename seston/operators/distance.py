@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from seston.durable import stage
 from seston.operators.joins import natural_join
@@ -169,8 +170,9 @@ def wisconsin(df: DataFrame, sample: str, taxon: str, value: str) -> DataFrame:
     scaled = natural_join(cells, top, "left", [taxon]).select(
         sample, taxon, (F.col(value) / F.when(F.col("__top") != 0, F.col("__top"))).alias(value)
     )
-    mass = scaled.groupBy(sample).agg(F.sum(value).alias("__mass"))
-    return natural_join(scaled, mass, "left", [sample]).select(
+    # a sample has at most one row per taxon here
+    mass = F.sum(value).over(W.partitionBy(sample))
+    return scaled.withColumn("__mass", mass).select(
         sample, taxon, (F.col(value) / F.when(F.col("__mass") != 0, F.col("__mass"))).alias(value)
     )
 

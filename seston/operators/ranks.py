@@ -32,11 +32,18 @@ def _cuts_below(value: str, levels: int) -> Column:
 
 
 def value_positions(
-    df: DataFrame, value: str, by: Sequence[str] = (), ranges: int = 64
+    df: DataFrame, value: str, by: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
     """Distinct values with ``n`` rows each, ``below`` rows smaller than it and
-    ``total`` rows, all within ``by``. Missing values are left out."""
+    ``total`` rows, all within ``by``. Missing values are left out.
+
+    ``ranges`` per group is rounded up to a power of two; by default it follows
+    the task slots for one group and is 64 for many.
+    """
     by = list(by)
+    if ranges is None:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        ranges = 64 if by else min(max(64, 2 * slots), 1024)
     levels = max(ranges - 1, 1).bit_length()
     ranges = 2**levels
     counts = (
@@ -45,7 +52,7 @@ def value_positions(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = F.percentile_approx(F.col(value).cast("double"), shares, F.lit(100 * ranges))
+    cuts = F.percentile_approx(F.col(value).cast("double"), shares, F.lit(max(10_000, 16 * ranges)))
     # The row total rides along with the cuts so that both reuse the counts.
     whole = counts.groupBy(*by).agg(cuts.alias("__cuts"), F.sum("n").alias("total"))
     if by:
@@ -70,7 +77,7 @@ def value_positions(
 
 
 def avg_rank(
-    df: DataFrame, value: str, new: str = "rank", by: Sequence[str] = (), ranges: int = 64
+    df: DataFrame, value: str, new: str = "rank", by: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
     """Add the rank of each value, ties sharing their mean rank."""
     placed = value_positions(df, value, by, ranges)
@@ -80,7 +87,7 @@ def avg_rank(
 
 
 def tukey_five(
-    df: DataFrame, value: str, by: Sequence[str] = (), ranges: int = 64
+    df: DataFrame, value: str, by: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
     """Minimum, lower hinge, median, upper hinge and maximum, with the count.
 

@@ -204,14 +204,23 @@ def mismatch_total(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
+def _names(cols: str | Sequence[str]) -> list[str]:
+    return [cols] if isinstance(cols, str) else list(cols)
+
+
+def _cells(df: DataFrame, samples: Sequence[str], taxon: str, value: str | None) -> DataFrame:
+    """Sample x taxon combinations, ``present`` if any value is not zero. The
+    summaries below all start from this one aggregation of the rows."""
+    here = F.lit(True) if value is None else F.coalesce(F.col(value) != 0, F.lit(False))
+    return df.groupBy(*samples, taxon).agg(F.max(here).alias("present"))
+
+
 def present_cells(
     df: DataFrame, sample: str | Sequence[str], taxon: str, value: str | None = None
 ) -> DataFrame:
     """Distinct sample x taxon combinations, leaving out zero values."""
-    samples = [sample] if isinstance(sample, str) else list(sample)
-    if value:
-        df = df.filter(F.col(value) != 0)
-    return df.select(*samples, taxon).distinct()
+    samples = _names(sample)
+    return _cells(df, samples, taxon, value).filter("present").select(*samples, taxon)
 
 
 def occupancy(
@@ -222,9 +231,12 @@ def occupancy(
     digits: int | None = 3,
 ) -> DataFrame:
     """Samples in which each taxon occurs, and their share of all samples."""
-    samples = [sample] if isinstance(sample, str) else list(sample)
-    n_all = df.select(*samples).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    out = count_by(present_cells(df, samples, taxon, value), [taxon], "n_samples")
+    samples = _names(sample)
+    cells = _cells(df, samples, taxon, value)
+    # counting "present" keeps this shuffle the same as that of the cells
+    each = cells.groupBy(*samples).agg(F.max("present").alias("present"))
+    n_all = each.agg(F.count("present").alias("n")).scalar()
+    out = count_by(cells.filter("present"), [taxon], "n_samples")
     share = F.col("n_samples") / n_all
     return out.withColumn("share", share if digits is None else F.round(share, digits))
 
@@ -237,21 +249,23 @@ def richness(
     name: str = "richness",
 ) -> DataFrame:
     """Number of taxa in each sample."""
-    samples = [sample] if isinstance(sample, str) else list(sample)
-    return present_cells(df, samples, taxon, value).groupBy(*samples).agg(F.count(taxon).alias(name))
+    samples = _names(sample)
+    found = present_cells(df, samples, taxon, value)
+    return found.groupBy(*samples).agg(F.count(taxon).alias(name))
 
 
 def matrix_fill(
     df: DataFrame, sample: str | Sequence[str], taxon: str, value: str | None = None
 ) -> DataFrame:
     """Size of the sample x taxon matrix and the share of cells not zero."""
-    samples = [sample] if isinstance(sample, str) else list(sample)
-    n_samples = df.select(*samples).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    n_taxa = df.select(taxon).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    filled = present_cells(df, samples, taxon, value).agg(F.count(F.lit(1)).alias("filled"))
-    return filled.select(
-        n_samples.alias("samples"), n_taxa.alias("taxa"), F.col("filled")
-    ).withColumn("fill", ratio("filled", F.col("samples") * F.col("taxa")))
+    samples = _names(sample)
+    key = F.struct(*[F.col(s) for s in samples])
+    sizes = _cells(df, samples, taxon, value).agg(
+        F.count_distinct(key).alias("samples"),
+        F.count_distinct(F.struct(taxon)).alias("taxa"),
+        F.count_if("present").alias("filled"),
+    )
+    return sizes.withColumn("fill", ratio("filled", F.col("samples") * F.col("taxa")))
 
 
 def histogram_edges(df: DataFrame, col: str, breaks: int | None = None) -> list[float]:
