@@ -20,6 +20,18 @@ from seston.sources.small import small_table
 _HOW = {"left": "left", "inner": "inner", "full": "full", "semi": "left_semi", "anti": "left_anti"}
 
 
+def _full(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A full join as a left join and the rows of the right without a partner.
+
+    A full outer join can neither be broadcast nor have a hot key split while
+    it runs; both parts of this can, and the second needs only distinct keys.
+    """
+    known = left.select(*[F.col(f"`{k}`") for k in keys]).distinct()
+    matched = natural_join(left, right, "left", keys)
+    alone = natural_join(right, known, "anti", keys)
+    return matched.unionByName(alone, allowMissingColumns=True)
+
+
 def natural_keys(left: DataFrame, right: DataFrame) -> list[str]:
     """Columns both sides have, in the order of the left."""
     keys = [c for c in left.columns if c in set(right.columns)]
@@ -46,13 +58,11 @@ def natural_join(
         clash = (set(left.columns) & set(right.columns)) - set(keys)
         if clash:
             raise ValueError(f"columns on both sides but not keys: {sorted(clash)}")
+    if how == "full":
+        return _full(left, right, keys)
     right = right.withColumnsRenamed(renamed)
     same = reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"`{renamed[k]}`")) for k in keys])
     joined = left.join(right, same, _HOW[how])
-    if how == "full":
-        joined = joined.withColumns(
-            {k: F.coalesce(F.col(f"`{k}`"), F.col(f"`{renamed[k]}`")) for k in keys}
-        )
     return joined if how in ("semi", "anti") else joined.drop(*renamed.values())
 
 
@@ -112,12 +122,12 @@ def join_lookup(
 
 def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every key of either side with a ``found_in`` label: both, left or right."""
-    a = left.select(*keys).distinct().withColumn("__l", F.lit(True))
-    b = right.select(*keys).distinct().withColumn("__r", F.lit(True))
-    side = (
-        F.when(F.col("__l").isNull(), "right").when(F.col("__r").isNull(), "left").otherwise("both")
+    sides = left.select(*keys, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
+        right.select(*keys, F.lit(0).alias("l"), F.lit(1).alias("r"))
     )
-    return natural_join(a, b, "full", keys).select(*keys, side.alias("found_in"))
+    found = sides.groupBy(*keys).agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    side = F.when(F.col("l") == 0, "right").when(F.col("r") == 0, "left").otherwise("both")
+    return found.select(*keys, side.alias("found_in"))
 
 
 def apply_corrections(

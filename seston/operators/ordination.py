@@ -7,7 +7,7 @@ shuffle if it is not. An iteration is two aggregations over the pairs:
 
 1. sum the configuration distances per start and tier of dissimilarity, fit a
    monotone curve to the tier means;
-2. move each sample by the Guttman transform towards the fitted distances.
+2. move each sample towards the fitted distances.
 
 Tiers are groups of pairs with neighbouring ranks. Pairs of one tier share a
 fitted value, as ties do, so the curve is fitted on at most ``tiers`` points
@@ -122,16 +122,20 @@ def _stress_of(fit: DataFrame) -> DataFrame:
     return fit.groupBy("start").agg(F.sqrt(ratio).alias("stress"))
 
 
-def _moved(apart: DataFrame, fit: DataFrame, axes: Sequence[str], n: int) -> DataFrame:
+def _moved(apart: DataFrame, fit: DataFrame, now: DataFrame, axes: Sequence[str], n: int) -> DataFrame:
+    """The relaxed update of de Leeuw and Heiser: twice the Guttman transform
+    minus the present position. It needs about half the iterations."""
     pulled = apart.join(fit.select("start", "tier", "fitted"), ["start", "tier"])
     pull = F.when(F.col("apart") > 0, F.col("fitted") / F.col("apart")).otherwise(F.lit(0.0))
-    pulled = pulled.withColumn("pull", pull / n)
+    pulled = pulled.withColumn("pull", pull * F.lit(2.0 / n))
     ends = F.array(
         F.struct(F.col("sample_1").alias("sample"), *[(F.col("pull") * F.col(f"d_{a}")).alias(a) for a in axes]),
         F.struct(F.col("sample_2").alias("sample"), *[(-F.col("pull") * F.col(f"d_{a}")).alias(a) for a in axes]),
     )
+    back = now.select("start", "sample", *[(-F.col(a)).alias(a) for a in axes])
     return (
         pulled.select("start", F.inline(ends))
+        .unionByName(back)
         .groupBy("start", "sample")
         .agg(*[F.sum(a).alias(a) for a in axes])
     )
@@ -196,7 +200,7 @@ def nmds(
         fit = _fit(apart)
         check = step % check_every == 0 or step == max_iter
         fitted = Staged(fit)
-        after = Staged(_moved(apart, fitted.df, axes, n))
+        after = Staged(_moved(apart, fitted.df, now.df, axes, n))
         if check:
             found = {r["start"]: r["stress"] for r in _stress_of(fitted.df).collect()}
             history += [(step, s, v) for s, v in sorted(found.items())]

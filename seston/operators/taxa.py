@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seston.durable import stage
 from seston.functions.text import matches, replace_each, split_last, tidy_space
 from seston.operators.joins import join_lookup, natural_join, unique_by
 from seston.operators.summary import occupancy, present_cells, sum_by
@@ -178,11 +179,15 @@ def drop_rare(
     min_samples: int = 3,
     value: str | None = None,
 ) -> DataFrame:
-    """Keep the taxa found in at least ``min_samples`` samples."""
+    """Keep the taxa found in at least ``min_samples`` samples.
+
+    The list of those taxa is written when this is called: with its size known,
+    a short list filters the rows where they are, without a shuffle.
+    """
     samples = [sample] if isinstance(sample, str) else list(sample)
     found = present_cells(df, samples, taxon, value)
-    common = found.groupBy(taxon).agg(F.count(F.lit(1)).alias("__n"))
-    return natural_join(df, common.filter(F.col("__n") >= min_samples), "semi", [taxon])
+    often = found.groupBy(taxon).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_samples)
+    return natural_join(df, stage(often.select(taxon)), "semi", [taxon])
 
 
 def rollup_taxon(

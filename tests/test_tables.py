@@ -50,7 +50,7 @@ def test_random_joins_against_dict(spark, rows):
     assert got == want
 
 
-@pytest.mark.parametrize("how", ["left", "full", "anti"])
+@pytest.mark.parametrize("how", ["left", "inner", "full", "semi", "anti"])
 def test_joins_stay_equi_joins(spark, sides, how):
     left, right = sides
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -61,6 +61,33 @@ def test_joins_stay_equi_joins(spark, sides, how):
     assert "SortMergeJoin" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("how", ["left", "inner", "full", "semi", "anti"])
+def test_hot_keys_are_split_while_running(spark, how):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    key = F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id").cast("string"))
+    facts = spark.range(0, 60_000, 1, 8).select(key.alias("k"), F.col("id").alias("v"))
+    dim = spark.range(5000).select(key.alias("k"), (F.col("id") * 2).alias("w"))
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        lookup = J.unique_by(dim, ["k"], "first")
+        df = J.natural_join(facts, lookup, how).select("v")
+        n = len(df.collect())
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    matched = 20_000 + sum(1 for i in range(5000) if i % 3)
+    assert n == {"left": 60_000, "full": 60_000, "inner": matched, "semi": matched, "anti": 60_000 - matched}[how]
+    assert "skew=true" in plan
+
+
 def test_small_tables_are_shipped_whole_by_size(spark):
     big = spark.range(1000).select((F.col("id") % 3).cast("string").alias("k"))
     patch = small_table(spark, [("1", "x")], "k string, v string")
