@@ -37,7 +37,7 @@ HEADLINE = [
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
     times = {}

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.base import query
+from seston.durable import shared_folder
 from seston.functions.numbers import row_mean, row_sum, with_row_mean
 from seston.functions.text import matches
 from seston.operators import columns as C
 from seston.operators import filters as R
 from seston.operators import ordering as O
+from seston.sources.csv_files import read_csv_dir, write_by, write_csv
 
 
 @query("scan_table", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
@@ -17,6 +21,41 @@ def _(t):
     return t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
 
 
+def scratch(t, name):
+    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "csv_folder_by_name",
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS o_totalprice, o_orderstatus,
+         CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS o_orderpriority FROM orders""",
+)
+def _(t):
+    folder = scratch(t, "sheets")
+    done, rest = t.orders.filter("o_orderstatus = 'F'"), t.orders.filter("o_orderstatus <> 'F'")
+    write_csv(done.select("o_orderkey", "o_totalprice", "o_orderstatus"), f"{folder}/done")
+    write_csv(rest.select("o_orderstatus", "o_orderpriority", "o_orderkey"), f"{folder}/rest")
+    schema = "o_orderkey long, o_totalprice double, o_orderstatus string, o_orderpriority string"
+    return read_csv_dir(t.spark, f"{folder}/*/*.csv", schema)
+
+
+@query("source_labels", "SELECT s_suppkey, s_name, CAST(s_nationkey % 2 AS VARCHAR) AS half FROM supplier")
+def _(t):
+    folder = scratch(t, "halves")
+    for half in (0, 1):
+        write_csv(t.supplier.filter(F.col("s_nationkey") % 2 == half), f"{folder}/half{half}")
+    read = read_csv_dir(t.spark, f"{folder}/*/*.csv", "s_suppkey long, s_name string", source="source")
+    label = F.regexp_extract("source", "half([01])/[^/]+$", 1)
+    return read.select("s_suppkey", "s_name", label.alias("half"))
+
+
+@query("output_by_key", "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders")
+def _(t):
+    folder = scratch(t, "by_key")
+    write_by(t.orders.select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderpriority", folder)
+    return t.spark.read.parquet(folder)
+
+
 @query(
     "cast_text_columns",
     """SELECT event_id, TRY_CAST(event_type AS DOUBLE) AS event_type,

@@ -29,6 +29,9 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_written: list[Staged] = []
+
+
 class Staged:
     """A written table: ``df`` reads it, ``drop()`` removes the files."""
 
@@ -36,15 +39,24 @@ class Staged:
         self._spark = df.sparkSession
         self.path = f"{shared_folder(self._spark)}/stage-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
+        _written.append(self)
         self.df = self._spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
+        _written.remove(self)
         jvm = self._spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         conf = self._spark._jsc.hadoopConfiguration()
         path.getFileSystem(conf).delete(path, True)
 
 
+def drop_all() -> None:
+    """Remove every table this process has staged and not dropped. Results that
+    read them can no longer be used."""
+    for table in list(_written):
+        table.drop()
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Run ``df`` once, keep the rows in the shared folder, read them back."""
     return Staged(df).df

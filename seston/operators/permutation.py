@@ -93,21 +93,21 @@ def _sizes(groups: DataFrame, group: str) -> DataFrame:
 
 
 def label_columns(labels: DataFrame, sizes: DataFrame, by_size: bool) -> DataFrame:
-    """Per sample one array of group numbers and one of weights, over perms."""
+    """Per sample one array of group numbers and, if asked for, one of group
+    sizes, over perms. The window numbers the groups, one row each."""
     numbered = sizes.select(
         "group",
         F.row_number().over(W.partitionBy(F.lit(0)).orderBy("group")).alias("code"),
-        (1.0 / F.col("size") if by_size else F.lit(1.0)).alias("weight"),
+        F.col("size").cast("int").alias("size"),
     )
     coded = natural_join(labels, numbered, "inner", ["group"])
     packed = coded.groupBy("sample").agg(
-        F.array_sort(F.collect_list(F.struct("perm", "code", "weight"))).alias("p")
-    )
-    return packed.select(
-        "sample",
-        F.transform("p", lambda e: e["code"]).alias("codes"),
-        F.transform("p", lambda e: e["weight"]).alias("weights"),
+        F.array_sort(F.collect_list(F.struct("perm", "code", "size"))).alias("p")
     )
+    codes = packed.select("sample", F.transform("p", lambda e: e["code"]).alias("codes"), "p")
+    if by_size:
+        codes = codes.withColumn("sizes", F.transform("p", lambda e: e["size"]))
+    return codes.drop("p")
 
 
 def within_totals(
@@ -137,12 +137,15 @@ def within_totals(
         i, j = i.to_numpy()[known].astype(int), j.to_numpy()[known].astype(int)
         v = pairs["value"].to_numpy()[known]
         codes = np.array(labels["codes"].tolist())
-        weights = np.array(labels["weights"].tolist())
+        sized = "sizes" in labels.columns
+        weights = 1.0 / np.array(labels["sizes"].tolist()) if sized else None
         total, number = np.zeros(codes.shape[1]), np.zeros(codes.shape[1])
         step = max(1, 4_000_000 // codes.shape[1])
         for s in range(0, len(v), step):
             a, b = i[s : s + step], j[s : s + step]
-            share = (codes[a] == codes[b]) * weights[a]
+            share = (codes[a] == codes[b]).astype(float)
+            if sized:
+                share *= weights[a]
             total += v[s : s + step] @ share
             number += share.sum(axis=0)
         perm = np.arange(-1, codes.shape[1])

@@ -213,7 +213,7 @@ def test_ordination_recovers_a_planted_layout(spark):
         [(a, b, math.dist(at[a], at[b]) ** 1.5) for a, b in itertools.combinations(sorted(at), 2)],
         "sample_1 string, sample_2 string, distance double",
     )
-    result = N.nmds(pairs, k=2, starts=4, max_iter=20, check_every=5)
+    result = N.nmds(pairs, k=2, starts=3, max_iter=15, check_every=5)
     best = {}
     for step, start, value in result.history:
         assert value <= best.get(start, 9) + 1e-9

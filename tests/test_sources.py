@@ -1,6 +1,6 @@
 import pytest
 
-from seston.durable import Staged, shared_folder, stage
+from seston.durable import Staged, drop_all, shared_folder, stage
 from seston.operators import taxa as N
 from seston.sources import csv_files as S
 from seston.sources.small import small_table
@@ -77,6 +77,13 @@ def test_staged_tables(spark, rows):
         spark.read.parquet(kept.path).count()
 
 
+def test_all_staged_tables_can_be_dropped(spark):
+    kept = Staged(spark.range(3))
+    drop_all()
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.path).count()
+
+
 def test_small_table_types(spark):
     t = small_table(spark, [("a", 1, None), (None, 2, 0.5)], "k string, n long, x double")
     assert [f.dataType.simpleString() for f in t.schema] == ["string", "bigint", "double"]
