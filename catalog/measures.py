@@ -28,13 +28,13 @@ def _(t):
 
 @query(
     "biovolume_per_ml",
-    """SELECT l_orderkey, l_linenumber, round((l_quantity * l_extendedprice) * 314.159
+    """SELECT l_orderkey, l_linenumber, round((l_quantity * l_extendedprice) * 0.314159
          / nullif(l_linenumber * 0.0683 * (l_suppkey % 9), 0), 1) AS biovolume_per_ml FROM lineitem""",
 )
 def _(t):
     fields = F.col("l_suppkey") % 9
     made = M.biovolume(
-        "l_quantity", "l_extendedprice", F.lit(314.159), "l_linenumber", F.lit(0.0683), fields
+        "l_quantity", "l_extendedprice", F.lit(0.314159), "l_linenumber", F.lit(0.0683), fields
     )
     return t.lineitem.select(*LINES, made.alias("biovolume_per_ml"))
 

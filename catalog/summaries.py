@@ -48,7 +48,7 @@ def _(t):
 
 
 PROPAGATED = """SELECT l_suppkey, CASE WHEN count(nullif(l_tax, 0.08)) = count(*) THEN
-   round({}(nullif(l_tax, 0.08)), 6) END AS tax FROM lineitem GROUP BY l_suppkey, l_linenumber, l_returnflag"""
+   round({}(nullif(l_tax, 0.08)), 9) END AS tax FROM lineitem GROUP BY l_suppkey, l_linenumber, l_returnflag"""
 
 
 def by_supplier(t):
@@ -63,13 +63,13 @@ GROUPED = ["l_suppkey", "l_linenumber", "l_returnflag"]
 @query("sum_propagating_missing", PROPAGATED.format("sum"))
 def _(t):
     out = S.sum_by(by_supplier(t), GROUPED, ["tax"], na="propagate")
-    return out.select("l_suppkey", F.round("tax", 6).alias("tax"))
+    return out.select("l_suppkey", F.round("tax", 9).alias("tax"))
 
 
 @query("mean_propagating_missing", PROPAGATED.format("avg"))
 def _(t):
     out = S.mean_by(by_supplier(t), GROUPED, ["tax"], na="propagate")
-    return out.select("l_suppkey", F.round("tax", 6).alias("tax"))
+    return out.select("l_suppkey", F.round("tax", 9).alias("tax"))
 
 
 REPS = f"""WITH {OBS}, per AS (SELECT site, survey, taxon, rep, sum(density) AS d FROM obs GROUP BY ALL)"""
