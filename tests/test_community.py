@@ -213,17 +213,17 @@ def test_ordination_recovers_a_planted_layout(spark):
         [(a, b, math.dist(at[a], at[b]) ** 1.5) for a, b in itertools.combinations(sorted(at), 2)],
         "sample_1 string, sample_2 string, distance double",
     )
-    result = N.nmds(pairs, k=2, starts=3, max_iter=15, check_every=5)
+    result = N.nmds(pairs, k=2, starts=8, max_iter=30, check_every=10)
     best = {}
     for step, start, value in result.history:
         assert value <= best.get(start, 9) + 1e-9
         best[start] = value
-    assert result.stress.agg(F.min("stress")).first()[0] < 0.15
+    assert result.stress.agg(F.min("stress")).first()[0] < 0.06
     got = {r["sample"]: (r["axis1"], r["axis2"]) for r in result.scores.collect()}
     keys = list(itertools.combinations(sorted(at), 2))
     placed = [math.dist(got[a], got[b]) for a, b in keys]
     true = [math.dist(at[a], at[b]) for a, b in keys]
-    assert np.corrcoef(placed, true)[0, 1] > 0.9
+    assert np.corrcoef(placed, true)[0, 1] > 0.97
     again = N.stress(pairs, result.scores, ["axis1", "axis2"]).first()[0]
     assert again == pytest.approx(result.stress.agg(F.min("stress")).first()[0], rel=1e-6)
     table = N.shepard(pairs, result.scores, ["axis1", "axis2"]).orderBy("dissimilarity").collect()
