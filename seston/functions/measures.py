@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from seston.functions.numbers import as_col, ratio, round_to, row_sum
+from seston.functions.numbers import as_col, ratio, round_to
 
 ML_PER_M3 = 1_000_000
 
@@ -97,7 +97,6 @@ __all__ = [
     "biovolume",
     "concentration",
     "density",
-    "row_sum",
     "total_tow_volume",
     "tow_volume",
 ]
