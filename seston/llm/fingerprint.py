@@ -90,7 +90,8 @@ def next_rows(df: DataFrame, doc_id: str, text: str, carried: list[str], ranges:
 
     Ids are cut into ranges by approximate quantiles, each range is put in
     order by itself, and only the first row of each range is handed to the
-    range before it. No task orders all rows and texts are shuffled once.
+    range before it. No task orders all rows and texts are shuffled once. The
+    table that is broadcast has one row of two numbers per range.
     """
     spark = df.sparkSession
     ids = df.select(F.col(doc_id).alias("_id"))
@@ -113,7 +114,7 @@ def next_rows(df: DataFrame, doc_id: str, text: str, carried: list[str], ranges:
     )
     rows = df.withColumn("_range", number(F.col(doc_id))).withColumn("_order", order(F.col(doc_id)))
     heads = (
-        rows.drop("_range").join(before, "_order")
+        rows.drop("_range").join(F.broadcast(before), "_order")
         .withColumn("_n", F.row_number().over(Window.partitionBy("_order").orderBy(F.col(text).asc_nulls_first())))
         .where("_n = 1")
         .select("_range", F.struct(*carried).alias("_head"))

@@ -18,8 +18,7 @@ scores become a probability by a logistic curve.
 * NULL, empty texts and texts without letters have no passage and get a score.
 * Whole texts are scanned; equal rows get equal scores; an empty table gives an
   empty result.
-* The labelled sample is bounded by ``per_class`` texts of each class, the
-  memory of word weights in a task by ``CACHE`` words.
+* The labelled sample is bounded by ``per_class`` texts of each class.
 """
 
 from __future__ import annotations
@@ -34,14 +33,15 @@ from pyspark.sql import Column, DataFrame
 
 from seston.llm.common import fit_logistic, kept_for, labelled_sample, letter_words, logistic, over_texts
 
-PER_CLASS = 2500
+PER_CLASS = 1500
 PREFIXES = (4, 5, 6, 7)
 PRIOR = 50.0
 BOUND = 3.0
+#: toxic texts that a feature must occur in; fewer cannot pass the bound
+FEWEST = 4
 DRIFT = 0.5
 SIGNIFICANT = 0.01
 THRESHOLD = 0.7
-CACHE = 400_000
 
 
 @dataclass
@@ -70,34 +70,34 @@ def features(word: bytes) -> list[str]:
     return [letters] + [letters[:n] + "*" for n in PREFIXES if len(letters) > n]
 
 
-class Weights(dict):
-    """Weight of every word met, 0 where the word says nothing of toxicity."""
+class Weights:
+    """Weights of the words of a text that say something of toxicity."""
 
     def __init__(self, known: dict[str, float]):
-        super().__init__()
         self._known = known
-        self._starts = {f[: PREFIXES[0]] for f in known}
-
-    def __missing__(self, word: bytes) -> float:
-        if len(self) >= CACHE:
-            self.clear()
-        weight = 0.0
-        if word.decode("utf-8", "replace")[: PREFIXES[0]] in self._starts:
-            weight = max([self._known.get(f, 0.0) for f in features(word)])
-        self[word] = weight
-        return weight
-
-
-def log_odds(toxic: list[set[str]], other: list[set[str]]) -> dict[str, float]:
-    """Features whose log-odds are above 0 by ``BOUND`` standard deviations."""
-    a, b = Counter(), Counter()
-    for counts, texts in ((a, toxic), (b, other)):
-        for seen in texts:
-            counts.update(seen)
-    na, nb = max(1, len(toxic)), max(1, len(other))
+        self._starts = {f.rstrip("*").encode()[: PREFIXES[0]] for f in known}
+
+    def of(self, words: list[bytes]) -> dict[int, float]:
+        """By position; a word said again says nothing new. Most words end at
+        the look at their first bytes."""
+        starts, n, found, said = self._starts, PREFIXES[0], {}, set()
+        for i in [i for i, w in enumerate(words) if w[:n] in starts]:
+            word = words[i]
+            if word not in said:
+                said.add(word)
+                weight = max([self._known.get(f, 0.0) for f in features(word)])
+                if weight > 0:
+                    found[i] = weight
+        return found
+
+
+def log_odds(toxic: Counter, na: int, other: Counter, nb: int) -> dict[str, float]:
+    """Features whose log-odds are above 0 by ``BOUND`` standard deviations.
+    The counters hold in how many of ``na`` and ``nb`` texts a feature is."""
     found = {}
-    for f, y in a.items():
-        z = b.get(f, 0)
+    na, nb = max(1, na), max(1, nb)
+    for f, y in toxic.items():
+        z = other.get(f, 0)
         share = (y + z) / (na + nb)
         prior = PRIOR * share
         up = math.log((y + prior) / (na + PRIOR - y - prior + 1e-9))
@@ -108,6 +108,20 @@ def log_odds(toxic: list[set[str]], other: list[set[str]]) -> dict[str, float]:
     return found
 
 
+def occurrences(texts: list[str], only: set[str] | None = None) -> Counter:
+    """In how many texts every feature occurs; ``only`` those of a set."""
+    met: Counter = Counter()
+    starts = only and {f.rstrip("*").encode()[: PREFIXES[0]] for f in only}
+    for t in texts:
+        words = set(letter_words(t))
+        if only is None:
+            met.update({f for w in words for f in features(w)})
+        else:
+            near = [w for w in words if w[: PREFIXES[0]] in starts]
+            met.update({f for w in near for f in features(w)} & only)
+    return met
+
+
 def maximal_passages(at: list[int], weight: list[float], drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """All maximal-scoring runs (first word, last word, score) of a text whose
     words weigh ``-drift`` except those at ``at``.
@@ -142,13 +156,8 @@ class Scorer:
     def runs(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         """Number of words and the maximal passages in words."""
         words = letter_words(text)
-        weights = list(map(self._weights.__getitem__, words))
-        if not any(weights):
-            return len(words), []
-        # a word said again says nothing new
-        first = {words[i]: i for i in range(len(words) - 1, -1, -1) if weights[i]}
-        at = sorted(first.values())
-        return len(words), maximal_passages(at, [weights[i] for i in at])
+        weights = self._weights.of(words)
+        return len(words), maximal_passages(list(weights), list(weights.values()))
 
     def measured(self, text: str | None) -> tuple[np.ndarray, list[tuple[int, int, float, float]]]:
         """Best and summed normalised score, and the significant passages."""
@@ -170,20 +179,6 @@ class Scorer:
         return Found(float(logistic(self._m.curve, x[None])[0]), float(x[0]), passages)
 
 
-def chance_rate(weights: np.ndarray) -> float:
-    """The positive solution of ``mean(exp(rate * weight)) = 1``."""
-    if not len(weights) or weights.max() <= 0:
-        return 1.0
-    low, high = 1e-6, 1.0
-    over = lambda r: np.exp(np.minimum(r * weights, 700)).mean() > 1
-    while not over(high) and high < 64:
-        high *= 2
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (low, mid) if over(mid) else (mid, high)
-    return high
-
-
 def train(sample: list[tuple[str, int]]) -> Model:
     """Weights of two crossed halves calibrate, weights of all texts score."""
     sample = list(dict.fromkeys(sample))
@@ -192,17 +187,23 @@ def train(sample: list[tuple[str, int]]) -> Model:
         model = Model()
         model.curve[0] = math.log((len(kind[1]) + 1) / (len(kind[0]) + 1))
         return model
-    seen = {v: [{f for w in set(letter_words(t)) for f in features(w)} for t in kind[v]] for v in (0, 1)}
+    met = [[occurrences(kind[1][h::2])] for h in (0, 1)]
+    known = met[0][0] + met[1][0]
+    enough = {f for f, n in known.items() if n >= FEWEST}
+    known = Counter({f: known[f] for f in enough})
+    for h in (0, 1):
+        met[h] = [Counter({f: n for f, n in met[h][0].items() if f in enough}), occurrences(kind[0][h::2], enough)]
+    size = lambda v, h: len(kind[v][h::2])
     x, y = [], []
     for half in (0, 1):
-        part = Model(log_odds(seen[1][half::2], seen[0][half::2]))
+        part = Model(log_odds(met[half][0], size(1, half), met[half][1], size(0, half)))
         law(part, kind[0][half::2])
         scorer = Scorer(part)
         for v in (0, 1):
             for t in kind[v][1 - half :: 2]:
                 x.append(scorer.measured(t)[0])
                 y.append(v)
-    model = Model(log_odds(seen[1], seen[0]))
+    model = Model(log_odds(known, len(kind[1]), met[0][1] + met[1][1], len(kind[0])))
     law(model, kind[0])
     fitted = fit_logistic(np.array(x), np.array(y), ridge=1e-4)
     model.curve[: len(fitted)] = fitted
@@ -217,7 +218,9 @@ def law(model: Model, others: list[str]) -> None:
     for t in others:
         tokens = letter_words(t)
         words += len(tokens)
-        met.update(weights[w] for w in tokens)
+        found = weights.of(tokens)
+        met.update(found.values())
+        met[0.0] += len(tokens) - len(found)
     if not words:
         return
     values = np.array([w if w > 0 else -DRIFT for w in met] + [max(model.weights.values(), default=1.0)])
