@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seston.llm import fingerprint, language, quality, toxicity
+from seston.llm import fingerprint, language, links, mixing, quality, toxicity
 from seston.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,29 @@ def held_out(folds: int, part: int):
     return F.coalesce(fold("doc_id", folds) == part, F.lit(False))
 
 
+@query
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE["op1_mixing"] = mixing.SQL
+
+#: fixed values of the contract
+RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+@query
+def op3_links(spark: SparkSession, folder: str) -> DataFrame:
+    return links.filter_urls(table(spark, folder, "pages"), RULES)
+
+
 @query
 def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
