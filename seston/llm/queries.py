@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seston.llm import fingerprint, language, links, mixing, quality, toxicity
+from seston.llm import fingerprint, jaccard, language, links, mixing, near_vectors, quality, toxicity
 from seston.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,16 @@ def op3_links(spark: SparkSession, folder: str) -> DataFrame:
     return links.filter_urls(table(spark, folder, "pages"), RULES)
 
 
+@query
+def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, folder, "documents"))
+
+
+@query
+def op5_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
 @query
 def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
