@@ -35,15 +35,17 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
 
 
 def over_texts(
-    df: DataFrame, text: str, make: Callable[[], Callable[[list], dict[str, pa.Array]]], added: str
+    df: DataFrame, text: str, make: Callable[[], Callable[[list], dict[str, pa.Array]]], added: str,
+    keep_text: bool = False,
 ) -> DataFrame:
-    """``df`` without ``text`` and with the columns ``added`` (a DDL list).
+    """``df`` with the columns ``added`` (a DDL list), and without ``text``
+    unless it is kept.
 
     ``make`` runs once per task and returns a function from texts (None for
     NULL) to the added columns. Texts are handed over whole, a slice at a time.
     """
-    kept = [c for c in df.columns if c != text]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text] + [added])
+    kept = [c for c in df.columns if keep_text or c != text]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in kept] + [added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()

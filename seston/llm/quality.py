@@ -86,7 +86,7 @@ class Measure:
 
     @staticmethod
     def _loaded(data: bytes) -> zstandard.ZstdCompressor:
-        options = {"level": LEVEL, "write_checksum": False, "write_content_size": False}
+        options = {"level": LEVEL, "write_checksum": False, "write_content_size": False, "write_dict_id": False}
         if len(data) < 8:
             return zstandard.ZstdCompressor(**options)
         dictionary = zstandard.ZstdCompressionDict(data)
@@ -123,8 +123,8 @@ def train(sample: list[tuple[str, int]]) -> Model:
     return Model(dictionaries(texts[1], texts[0]), curve)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
-    """``docs`` without the text, with ``score`` and ``predicted``."""
+def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, prefix: str = "", keep_text: bool = False) -> DataFrame:
+    """``docs``, without the text unless it is kept, with ``score`` and ``predicted``."""
 
     def make():
         measure = Measure(model.dictionaries)
@@ -138,7 +138,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
 
         return work
 
-    return over_texts(docs, text, make, f"{prefix}score double, {prefix}predicted int")
+    return over_texts(docs, text, make, f"{prefix}score double, {prefix}predicted int", keep_text)
 
 
 def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int = PER_CLASS, label: str = "quality") -> Model:

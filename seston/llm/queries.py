@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seston.llm import fingerprint, jaccard, language, links, mixing, near_vectors, quality, toxicity
+from seston.llm import fingerprint, jaccard, language, links, mixing, near_vectors, pieces, quality, toxicity
 from seston.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 ORACLE["op1_mixing"] = mixing.SQL
 
+@query
+def op2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 #: fixed values of the contract
 RULES = [
     ("allow", "com/"),

@@ -239,8 +239,8 @@ def law(model: Model, others: list[str]) -> None:
     model.k = max(1e-6, math.log(2) * float(np.median(best))) if best else 0.1
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
-    """``docs`` without the text; adds ``score``, ``predicted`` and ``passages``
+def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, prefix: str = "", keep_text: bool = False) -> DataFrame:
+    """``docs``, without the text unless it is kept; adds ``score``, ``predicted`` and ``passages``
     (first and last word, counted from 0 among the text's words of letters,
     score, p)."""
     kind = pa.list_(
@@ -265,7 +265,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         f"{prefix}score double, {prefix}predicted int, "
         f"{prefix}passages array<struct<first:int,last:int,score:double,p:double>>"
     )
-    return over_texts(docs, text, make, added)
+    return over_texts(docs, text, make, added, keep_text)
 
 
 def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int = PER_CLASS, label: str = "toxic") -> Model:
