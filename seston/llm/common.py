@@ -89,7 +89,8 @@ def labelled_sample(
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     """Intercept and slopes by Newton steps with a small ridge on the slopes."""
-    x = np.asarray(x, float).reshape(len(y), -1)
+    x = np.asarray(x, float)
+    x = x.reshape(len(y), -1) if x.size else x.reshape(len(y), x.shape[-1] if x.ndim > 1 else 1)
     y = np.asarray(y, float)
     a = np.column_stack([np.ones(len(y)), x])
     w = np.zeros(a.shape[1])
