@@ -73,7 +73,14 @@ class Model:
         elif lines:
             self.parts = re.compile(f"(?s){BLANK}+[^{BLANK}]*|[^{BLANK}]+")
         else:
-            self.parts = re.compile(f"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+")
+            marks = self.never_after_letters()
+            ended = f"{BLANK}*[^\\W\\d_]+(?=[{marks}])|" if marks else ""
+            self.parts = re.compile(f"\n|{ended}{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+")
+
+    def never_after_letters(self) -> str:
+        """ASCII marks that follow a letter in no piece: a word ends there."""
+        follow = {y for p in self.id for x, y in zip(p, p[1:], strict=False) if x.isalpha()}
+        return "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c != "_" and c not in follow)
 
     def fallback(self, char: str) -> list[int]:
         if not self.bytes:
@@ -143,6 +150,7 @@ class Encoder:
         self.model = Model(data)
         self._matcher = Matcher(self.model)
         self._known: dict[str, list[int]] = {}
+        self._older: dict[str, list[int]] = {}
         self._apart: dict[tuple[int, int], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -184,52 +192,89 @@ class Encoder:
         return out
 
     def relax(self, part: str, o: int, begin: list[int], ids: list[int], length: list[int]) -> list[int]:
-        n, merges, score = len(part), self.model.merges, self.model.score
-        last: list[int | None] = [None] * (n + 1)
-        since = [-1] * (n + 1)
-        cost = [0.0] * (n + 1)
-        since[0] = 0
-        apart = self._apart
+        """Ids of one part, from the edges that begin at its positions."""
+        path = self.kept_apart if self.model.merges else self.best_sum
+        fallback = self.model.fallback
+        found = path(part, o, begin, ids, length)
+        if min(found) >= 0:
+            return found
+        return list(chain.from_iterable([p] if p >= 0 else fallback(chr(-p)) for p in found))
+
+    def kept_apart(self, part: str, o: int, begin: list[int], ids: list[int], length: list[int]) -> list[int]:
+        """The path whose neighbours all stay apart. Longest edges are tried
+        first; there is one such path to a position at most, so a position from
+        which no edge leads on is not entered again."""
+        n, apart = len(part), self._apart
+        path, ends, tried = [], [0], [begin[o]]
+        dead = set()
+        before = None
+        while ends[-1] < n:
+            i = ends[-1]
+            e, stop = tried[-1], begin[o + i + 1]
+            while e < stop:
+                end = i + length[e]
+                if end <= n and end not in dead:
+                    piece = ids[e]
+                    ok = apart.get((before, piece))
+                    if ok or (ok is None and self.apart(before, piece)):
+                        break
+                e += 1
+            else:
+                # a character without a piece is an edge of its own, tried last
+                piece, end = -ord(part[i]), i + 1
+                single = stop > begin[o + i] and length[stop - 1] == 1
+                if single or e > stop or end in dead or not self.apart(before, piece):
+                    dead.add(i)
+                    ends.pop()
+                    tried.pop()
+                    path.pop()
+                    before = path[-1] if path else None
+                    continue
+            tried[-1] = e + 1
+            path.append(piece)
+            ends.append(end)
+            tried.append(begin[o + end])
+            before = piece
+        return path
+
+    def best_sum(self, part: str, o: int, begin: list[int], ids: list[int], length: list[int]) -> list[int]:
+        """The path with the best sum of scores; a character without a piece
+        counts worse than any piece."""
+        n, score = len(part), self.model.score
+        none = min(score) - 10
+        best = [0.0] + [float("-inf")] * n
+        last, since = [0] * (n + 1), [0] * (n + 1)
         for i in range(n):
-            if since[i] < 0:
-                continue
-            before = last[i]
             single = False
             for e in range(begin[o + i], begin[o + i + 1]):
-                piece, end = ids[e], i + length[e]
+                end = i + length[e]
                 single |= end == i + 1
-                if end > n:
-                    continue
-                if merges:
-                    ok = apart.get((before, piece))
-                    if since[end] < 0 and (self.apart(before, piece) if ok is None else ok):
-                        last[end], since[end] = piece, i
-                elif since[end] < 0 or cost[i] + score[piece] > cost[end]:
-                    last[end], since[end], cost[end] = piece, i, cost[i] + score[piece]
-            if not single and (since[i + 1] < 0 or not merges):
-                if not merges:
-                    worse = cost[i] + min(score) - 10
-                    if since[i + 1] < 0 or worse > cost[i + 1]:
-                        last[i + 1], since[i + 1], cost[i + 1] = -ord(part[i]), i, worse
-                elif self.apart(before, -ord(part[i])):
-                    last[i + 1], since[i + 1] = -ord(part[i]), i
-        found: list[list[int]] = []
-        end = n
+                if end <= n and best[i] + score[ids[e]] > best[end]:
+                    best[end], last[end], since[end] = best[i] + score[ids[e]], ids[e], i
+            if not single and best[i] + none > best[i + 1]:
+                best[i + 1], last[i + 1], since[i + 1] = best[i] + none, -ord(part[i]), i
+        found, end = [], n
         while end > 0:
-            piece = last[end]
-            found.append([piece] if piece >= 0 else self.model.fallback(chr(-piece)))
+            found.append(last[end])
             end = since[end]
-        return list(chain.from_iterable(reversed(found)))
+        return found[::-1]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Ids of every text; what is new in them is matched together."""
         prefix = BLANK if self.model.dummy_prefix else ""
         cut = [None if t is None else self.model.parts.findall(prefix + t.replace(" ", BLANK)) if t else [] for t in texts]
-        known = self._known
-        if len(known) > CACHE:
-            known.clear()
+        if len(self._known) > CACHE // 2:  # what is not met again is forgotten
+            self._older, self._known = self._known, {}
+        if len(self._apart) > CACHE:
             self._apart.clear()
-        new = [p for p in dict.fromkeys(chain.from_iterable(c for c in cut if c)) if p not in known]
+        known, older = self._known, self._older
+        new = []
+        for p in dict.fromkeys(chain.from_iterable(c for c in cut if c)):
+            if p not in known:
+                if p in older:
+                    known[p] = older[p]
+                else:
+                    new.append(p)
         size, group = 0, []
         for p in [*new, None]:
             if p is None or (size + len(p) > AT_ONCE and group):
