@@ -150,14 +150,15 @@ def sample(docs: DataFrame, learn_from: Column, doc_id: str, text: str, lang: st
     """At most ``per_language`` whole texts of each language, in hash order of
     their ids. Ids are chosen by one count-bounded window per language over a
     hash range that is narrowed first, so that a language with a third of all
-    rows is not put in order by one task."""
+    rows is not put in order by one task. What is broadcast is one count per
+    language; there are as many languages as automata fit a task."""
     known = docs.where(learn_from & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         doc_id, lang, F.xxhash64(doc_id).alias("_order")
     )
     # keep, in each language, the hash range that is expected to hold four times what is needed
     sizes = known.groupBy(lang).agg(F.count("*").alias("_n"))
     share = F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("_n"))
-    narrowed = known.join(sizes, lang).where((F.shiftrightunsigned("_order", 11) / float(1 << 53)) <= share)
+    narrowed = known.join(F.broadcast(sizes), lang).where((F.shiftrightunsigned("_order", 11) / float(1 << 53)) <= share)
     first = Window.partitionBy(lang).orderBy("_order", doc_id)
     chosen = narrowed.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language)
     chosen = chosen.select(doc_id, "_order").distinct()
