@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seston.durable import Staged
 
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 
 
 def fold(doc_id: str, folds: int) -> Column:

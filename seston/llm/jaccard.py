@@ -189,7 +189,9 @@ class Join:
         self._docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
         self._words, self._percent = words, percent
         rows = sketched(docs, doc_id, text, words, percent).withColumn("row", F.monotonically_increasing_id())
-        self.rows = Staged(rows)
+        self._wide = Staged(rows)
+        # the keys are by far the largest part and are dropped once they are dealt out
+        self.rows = Staged(self._wide.df.drop("keys"))
         same = ["n", "d1", "d2"]
         self.classes = Staged(
             self.rows.df.where("n > 0").groupBy(*same).agg(F.min("row").alias("id"), F.min("doc_id").alias("least"))
@@ -199,11 +201,12 @@ class Join:
         """doc_id, n_shingles, component_id."""
         lanes = [f"b{i}" for i in range(LANES)]
         ids = self.classes.df.select("id")
-        of_class = self.rows.df.withColumnRenamed("row", "id").join(ids, "id", "left_semi")
-        small = of_class.select("id", "doc_id", "n", "d1", "d2", *lanes)
-        places = of_class.select("id", F.explode("keys").alias("key"))
+        of_class = lambda t: t.withColumnRenamed("row", "id").join(ids, "id", "left_semi")
+        small = of_class(self.rows.df).select("id", "doc_id", "n", "d1", "d2", *lanes)
+        places = of_class(self._wide.df.select("row", "keys")).select("id", F.explode("keys").alias("key"))
         shared = places.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).where("members > 1")
         met = Staged(places.join(shared, "key"))
+        self._wide.drop()
         stars = met.df.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
         first = Staged(self.verified(stars, small))
         part = components(first.df)
