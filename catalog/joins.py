@@ -142,11 +142,12 @@ def _(t):
     return J.enrich_with_fallback(named.select("p_partkey", "name", "genus"), a, b, ["name"], ["genus"])
 
 
+#: half years and quarters; two overlap, one has no dates
 PERIODS = [
-    ("S1", "1996-03-01", "1996-09-18", "first"),
-    ("S1", "1998-03-29", "1998-06-21", "second"),
-    ("S4", "1996-06-07", "1997-01-19", "first"),
-    ("S4", "1997-01-01", "1997-07-02", "second"),
+    ("S1", "1996-01-01", "1996-06-30", "first"),
+    ("S1", "1997-07-01", "1997-12-31", "second"),
+    ("S4", "1995-04-01", "1996-03-31", "first"),
+    ("S4", "1996-01-01", "1996-09-30", "second"),
     ("S9", None, None, "first"),
 ]
 
@@ -159,8 +160,8 @@ def periods(t):
 
 
 PERIOD_SQL = """periods AS (SELECT * FROM (VALUES
-  ('S1', DATE '1996-03-01', DATE '1996-09-18', 'first'), ('S1', DATE '1998-03-29', DATE '1998-06-21', 'second'),
-  ('S4', DATE '1996-06-07', DATE '1997-01-19', 'first'), ('S4', DATE '1997-01-01', DATE '1997-07-02', 'second'))
+  ('S1', DATE '1996-01-01', DATE '1996-06-30', 'first'), ('S1', DATE '1997-07-01', DATE '1997-12-31', 'second'),
+  ('S4', DATE '1995-04-01', DATE '1996-03-31', 'first'), ('S4', DATE '1996-01-01', DATE '1996-09-30', 'second'))
   v(site, a, b, treatment))"""
 
 

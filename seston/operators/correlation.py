@@ -102,10 +102,11 @@ def corr_tests(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def corr_pvalues(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``corr_tests`` with two-sided p-values."""
-    return corr_tests(df, cols).withColumn(
-        "p", _p_of_t(F.col("t"), (F.col("n") - 2).cast("double"))
-    )
+    """``corr_tests`` with two-sided p-values, 0 for a perfect correlation of
+    more than two rows, whose t is infinite and left NULL."""
+    perfect = (F.col("n") > 2) & (1 - F.col("r") * F.col("r") <= 0)
+    p = _p_of_t(F.col("t"), (F.col("n") - 2).cast("double"))
+    return corr_tests(df, cols).withColumn("p", F.when(perfect, F.lit(0.0)).otherwise(p))
 
 
 def fences(df: DataFrame, col: str, by: Sequence[str] = (), coef: float = 1.5) -> DataFrame:

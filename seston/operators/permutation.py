@@ -208,6 +208,15 @@ def _with_whole(series: DataFrame, design: DataFrame) -> DataFrame:
     )
 
 
+def _complete(listed: Column, n: Column) -> Column:
+    """``listed``, or an error unless all pairs of n samples are listed."""
+    message = F.concat(
+        F.lit("pairs of labelled samples are missing: "), listed.cast("string"), F.lit(" listed for "),
+        n.cast("string"), F.lit(" samples; give absent= for pairs that are left out"),
+    )
+    return F.when(listed == n * (n - 1) / 2, listed).otherwise(F.raise_error(message).cast("double"))
+
+
 def permanova_series(
     pairs: DataFrame,
     groups: DataFrame,
@@ -222,7 +231,8 @@ def permanova_series(
     """(perm, ss_within, ss_total, r2, f, ...) with the observed one as perm 0.
 
     ``pairs`` has sample_1, sample_2 and distance. With ``absent``, pairs that
-    are not listed have that distance.
+    are not listed have that distance; without, every pair of labelled samples
+    has to be listed.
     """
     packed = _labels(groups, sample, group, perms, block_by, order, True)
     squares = pairs.withColumn("square", _known("distance") * F.col("distance"))
@@ -230,7 +240,7 @@ def permanova_series(
     x = _with_whole(sums, _design(_sizes(groups, group)))
     gone = F.lit(0.0 if absent is None else float(absent) ** 2)
     n, g = F.col("n"), F.col("g")
-    listed = F.col("all_pairs")
+    listed = F.col("all_pairs") if absent is not None else _complete(F.col("all_pairs"), n)
     ss_total = (F.col("all_total") + gone * (n * (n - 1) / 2 - listed)) / n
     ss_within = F.col("total") + gone * (F.col("inside_by_size") - F.col("pairs"))
     x = x.withColumns({"ss_total": ss_total, "ss_within": ss_within})
@@ -309,7 +319,8 @@ def anosim_series(
     """(perm, r) with the observed statistic as perm 0.
 
     Distances are ranked over all pairs, ties sharing their mean rank. With
-    ``absent``, pairs not listed tie at the top. One group, or groups of one
+    ``absent``, pairs not listed tie at the top; without, every pair of labelled
+    samples has to be listed. One group, or groups of one
     sample only, leave r NULL.
     """
     packed = _labels(groups, sample, group, perms, block_by, order, False)
@@ -324,7 +335,7 @@ def anosim_series(
     x = _with_whole(sums, _design(_sizes(groups, group)))
     n = F.col("n")
     every = n * (n - 1) / 2
-    missing = every - F.col("all_pairs") if absent else F.lit(0.0)
+    missing = every - (F.col("all_pairs") if absent else _complete(F.col("all_pairs"), n))
     top = F.col("all_pairs") + (missing + 1) / 2
     inside = F.col("total") + (F.col("inside") - F.col("pairs")) * top if absent else F.col("total")
     number = F.col("inside")

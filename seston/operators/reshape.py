@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seston.operators.joins import natural_join
+
 
 def spread(
     df: DataFrame,
@@ -56,12 +58,11 @@ def gather(
 def complete(df: DataFrame, sample: str, taxon: str, value: str) -> DataFrame:
     """Every sample with every taxon, 0 where the taxon was not found.
 
-    The result has samples x taxa rows; the other operators work on the long
-    table without the zeros. The taxon list becomes one array value, so it has
-    to be a list that fits a row, as the columns of a matrix do.
+    The result is the product of samples and taxa by definition; the other
+    operators work on the long table without the zeros. A missing sample or
+    taxon is one of its own. The optimizer decides which list is shipped.
     """
-    taxa = df.select(taxon).distinct().agg(F.array_sort(F.collect_list(taxon)).alias("t")).scalar()
-    cells = df.select(sample).distinct().select(sample, F.explode(taxa).alias(taxon))
+    cells = df.select(sample).distinct().crossJoin(df.select(taxon).distinct())
     found = df.groupBy(sample, taxon).agg(F.sum(value).alias(value))
-    joined = cells.join(found, [sample, taxon], "left")
+    joined = natural_join(cells, found, "left", [sample, taxon])
     return joined.select(sample, taxon, F.coalesce(F.col(value), F.lit(0)).alias(value))

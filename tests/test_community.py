@@ -284,3 +284,23 @@ def test_ellipse_lies_at_the_stated_radius(spark):
     for r in out:
         gap = np.array([r["x"], r["y"]]) - data.mean(axis=0)
         assert gap @ inv @ gap == pytest.approx(radius)
+
+
+def test_missing_pairs_are_refused(spark):
+    """Labelled samples without distances, and close pairs only."""
+    pairs = [(f"s{i}", f"s{j}", abs(i - j) / 10) for i in range(6) for j in range(i + 1, 6)]
+    table = spark.createDataFrame(pairs, "sample_1 string, sample_2 string, distance double")
+    labels = [(f"s{i}", "a" if i % 2 else "b") for i in range(6)]
+    groups = spark.createDataFrame(labels, "sample string, grp string")
+    more = spark.createDataFrame([*labels, ("s8", "a"), ("s9", "b")], "sample string, grp string")
+    for test in (P.permanova_series, P.anosim_series):
+        assert test(table, groups, "sample", "grp", 3).count() == 4
+        with pytest.raises(Exception, match="pairs of labelled samples are missing"):
+            test(table, more, "sample", "grp", 3).collect()
+        with pytest.raises(Exception, match="pairs of labelled samples are missing"):
+            test(table.where("distance < 0.4"), groups, "sample", "grp", 3).collect()
+
+
+def test_perfect_correlation_has_p_zero(spark):
+    df = spark.createDataFrame([(1.0, 2.0, -1.0), (2.0, 4.0, -2.0), (3.0, 6.0, -3.0)], "a double, b double, c double")
+    assert [r["p"] for r in C.corr_pvalues(df, ["a", "b", "c"]).collect()] == [0.0] * 3

@@ -311,3 +311,8 @@ def test_shares_and_bounds(spark, rows):
     assert rows(K.stack_bounds(df, "v", ["s"], "p"), "s", "p", "lower", "upper") == [
         ("s", "a", 0.0, 1.0), ("s", "b", 1.0, 4.0), ("z", "a", 0.0, 0.0),
     ]
+
+
+def test_complete_keeps_missing_keys(spark, rows):
+    df = spark.createDataFrame([("a", "x", 1), (None, "x", 5), ("a", None, 7)], "s string, t string, v int")
+    assert rows(P.complete(df, "s", "t", "v")) == [(None, None, 0), (None, "x", 5), ("a", None, 7), ("a", "x", 1)]
