@@ -33,8 +33,8 @@ from seston.llm.common import kept_for, over_texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-CACHE = 200_000
-AT_ONCE = 200_000
+CACHE = 260_000
+AT_ONCE = 400_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 
@@ -151,7 +151,9 @@ class Encoder:
         self._matcher = Matcher(self.model)
         self._known: dict[str, list[int]] = {}
         self._older: dict[str, list[int]] = {}
-        self._apart: dict[tuple[int, int], bool] = {}
+        #: by the piece before (None: at the begin of a part), then by the piece
+        self._apart: dict[int | None, dict[int, bool]] = {}
+        self._pairs = 0
 
     def merged(self, text: str) -> list[str]:
         """Segmentation of a short text by merging its best pair of neighbours,
@@ -172,11 +174,12 @@ class Encoder:
 
     def apart(self, a: int | None, b: int) -> bool:
         """Whether piece b can follow piece a (None: begin a part)."""
-        key = (a, b)
-        known = self._apart.get(key)
+        row = self._apart.setdefault(a, {})
+        known = row.get(b)
         if known is None:
             left, right = [] if a is None else [self.name(a)], self.name(b)
-            known = self._apart[key] = self.merged("".join(left) + right) == left + [right]
+            known = row[b] = self.merged("".join(left) + right) == left + [right]
+            self._pairs += 1
         return known
 
     def encode_parts(self, parts: list[str]) -> list[list[int]]:
@@ -211,13 +214,14 @@ class Encoder:
         while ends[-1] < n:
             i = ends[-1]
             e, stop = tried[-1], begin[o + i + 1]
+            row = apart.get(before) or apart.setdefault(before, {})
             while e < stop:
-                end = i + length[e]
-                if end <= n and end not in dead:
+                ok = row.get(ids[e])
+                if ok is None:
+                    ok = self.apart(before, ids[e])
+                if ok and (end := i + length[e]) <= n and end not in dead:
                     piece = ids[e]
-                    ok = apart.get((before, piece))
-                    if ok or (ok is None and self.apart(before, piece)):
-                        break
+                    break
                 e += 1
             else:
                 # a character without a piece is an edge of its own, tried last
@@ -265,8 +269,8 @@ class Encoder:
         cut = [None if t is None else self.model.parts.findall(prefix + t.replace(" ", BLANK)) if t else [] for t in texts]
         if len(self._known) > CACHE // 2:  # what is not met again is forgotten
             self._older, self._known = self._known, {}
-        if len(self._apart) > CACHE:
-            self._apart.clear()
+        if self._pairs > CACHE:
+            self._apart, self._pairs = {}, 0
         known, older = self._known, self._older
         new = []
         for p in dict.fromkeys(chain.from_iterable(c for c in cut if c)):
