@@ -19,7 +19,9 @@ from seston.operators import ranks as K
 from seston.operators import summary as S
 from seston.operators.taxa import rollup_taxon
 
-PERMS = 49
+PERMS = 999
+# repeated measures
+SHIFTS = 1999
 CELLS = f"""{OBS},
 cells AS (SELECT sample, taxon, sum(density) AS v FROM obs GROUP BY ALL),
 tot AS (SELECT sample, sum(v) AS s FROM cells GROUP BY ALL)"""
@@ -38,7 +40,7 @@ SERIES = f"""placed AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY
     count(*) OVER (PARTITION BY site) AS n FROM grp),
 moved AS (SELECT perm, sample, site, (k + CASE WHEN perm = 0 THEN 0 ELSE
     CAST('0x' || substr(md5(perm || '|' || site), 1, 8) AS BIGINT) % n END) % n AS k
-  FROM placed, generate_series(0, {PERMS}) g(perm)),
+  FROM placed, generate_series(0, {SHIFTS}) g(perm)),
 labels AS (SELECT perm, m.sample, p.season AS g FROM moved m JOIN placed p ON p.site = m.site AND p.k = m.k)"""
 SQUARES = """sizes AS (SELECT g, count(*) AS m FROM labels WHERE perm = 0 GROUP BY g),
 design AS (SELECT sum(m) AS n, count(*) AS k FROM sizes),
@@ -186,7 +188,7 @@ def _(t):
 
 @query("series_permutations", f"WITH {OBS}, {GROUPS}, {SERIES} SELECT perm, sample, g AS \"group\" FROM labels")
 def _(t):
-    return P.series_labels(groups(t), "sample", "season", "site", "survey", PERMS)
+    return P.series_labels(groups(t), "sample", "season", "site", "survey", SHIFTS)
 
 
 ANOSIM = f"""WITH {BRAY}, {GROUPS}, {FREE},
@@ -232,7 +234,7 @@ def _(t):
 @query("repeated_measures_permanova", f"WITH {BRAY}, {GROUPS}, {SERIES}, {SQUARES}, {TABLE}")
 def _(t):
     return rounded_table(
-        P.permanova(bray(t), stage(groups(t)), "sample", "season", PERMS, block_by="site", order="survey")
+        P.permanova(bray(t), stage(groups(t)), "sample", "season", SHIFTS, block_by="site", order="survey")
     )
 
 
@@ -242,25 +244,30 @@ def _(t):
 )
 def _(t):
     out = P.permanova_series(
-        bray(t), stage(groups(t)), "sample", "season", PERMS, block_by="site", order="survey"
+        bray(t), stage(groups(t)), "sample", "season", SHIFTS, block_by="site", order="survey"
     )
     return out.select("perm", F.round("r2", 8).alias("r2"), F.round("f", 5).alias("f"))
 
 
-EDGES = [i / 1000 for i in range(0, 21)]
-
-
 @query(
     "null_distribution",
-    f"""WITH {BRAY}, {GROUPS}, {SERIES}, {SQUARES} SELECT i / 1000.0 AS low, (i + 1) / 1000.0 AS high,
-      count(r2) AS n FROM generate_series(0, 19) e(i) LEFT JOIN series ON r2 > i / 1000.0 AND r2 <= (i + 1) / 1000.0
-      GROUP BY i""",
+    # steps of 1, 2, 5 or 10 powers of ten: the coarser ones while they are preferred
+    f"""WITH {BRAY}, {GROUPS}, {SERIES}, {SQUARES},
+    span AS (SELECT min(r2) AS lo, max(r2) AS hi, (max(r2) - min(r2)) / ceil(log2(count(r2)) + 1) AS c FROM series),
+    base AS (SELECT *, pow(10, floor(log10(c))) AS b FROM span),
+    step AS (SELECT *, b * CASE WHEN 2 * b - c >= 1.5 * (c - b) THEN 1 WHEN 5 * b - c >= 2.75 * (c - 2 * b) THEN 2
+      WHEN 10 * b - c >= 1.5 * (c - 5 * b) THEN 5 ELSE 10 END AS s FROM base),
+    cell AS (SELECT unnest(generate_series(CAST(floor(lo / s + 1e-7) AS BIGINT),
+      CAST(ceil(hi / s - 1e-7) AS BIGINT) - 1)) AS i, s FROM step)
+    SELECT round(i * s, 9) AS low, round((i + 1) * s, 9) AS high, count(r2) AS n FROM cell
+      LEFT JOIN series ON r2 > i * s + 1e-7 * s AND r2 <= (i + 1) * s + 1e-7 * s GROUP BY ALL""",
 )
 def _(t):
-    series = P.permanova_series(
-        bray(t), stage(groups(t)), "sample", "season", PERMS, block_by="site", order="survey"
+    series = stage(
+        P.permanova_series(bray(t), stage(groups(t)), "sample", "season", SHIFTS, block_by="site", order="survey")
     )
-    return S.histogram(series, "r2", EDGES)
+    out = S.histogram(series, "r2")
+    return out.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "n")
 
 
 MEASURED = ["a", "b", "c"]

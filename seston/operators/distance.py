@@ -2,7 +2,8 @@
 
 A community is a long table (sample, taxon, value) without zeros. Samples are
 put into blocks by a hash, and each pair of blocks is one unit of work: a task
-holds two blocks, whatever the data, and a taxon found in every sample needs no
+holds the cells of two blocks and one number per pair of their samples, and its
+work follows the cells that are not zero. A taxon found in every sample needs no
 special care because taxa are never a shuffle key. Cells are sent once per
 block, so the shuffle grows with cells x blocks; the number of pairs is in the
 nature of a distance table.
@@ -23,11 +24,13 @@ from seston.durable import stage
 from seston.operators.joins import natural_join
 
 BLOCK = 512
+# Share of two squared lengths below which their difference is not trusted.
+CANCELLED = 1e-6
 
 
 def block_count(samples: int, slots: int, size: int = BLOCK) -> int:
-    """Blocks so that none is larger than ``size`` and their pairs give every
-    task slot work, but a block is not too small to be worth a task."""
+    """Blocks of about ``size`` samples (a hash deals them) whose pairs give
+    every task slot work, but a block is not too small to be worth a task."""
     for_work = min(math.ceil(math.sqrt(2 * slots)), math.ceil(samples / 32))
     return max(1, math.ceil(samples / size), for_work)
 
@@ -36,7 +39,7 @@ def gather_block_pairs(df: DataFrame, blocks: int) -> DataFrame:
     """Rows of a pair of blocks into one task, about one pair per task. Work
     per row is high, so the count is fixed and not merged by row bytes."""
     pairs = blocks * (blocks + 1) // 2
-    return df.repartition(min(pairs, 20_000), "low_block", "high_block")
+    return df.repartition(pairs, "low_block", "high_block")
 
 
 def block_of(sample: Column | str, blocks: int) -> Column:
@@ -63,33 +66,58 @@ def community(df: DataFrame, sample: str, taxon: str, value: str) -> DataFrame:
 
 
 def _rows(cells: pd.DataFrame) -> tuple[np.ndarray, dict]:
-    """Samples of a block, and per taxon the values in sample order."""
+    """Samples of a block, and per taxon the rows it occurs in and its values
+    there: as many numbers as there are cells."""
     row, ids = pd.factorize(cells["sample"], sort=True)
-    by_taxon = {}
-    for t, at in cells.groupby("taxon", sort=False).indices.items():
-        column = np.zeros(len(ids))
-        column[row[at]] = cells["value"].to_numpy()[at]
-        by_taxon[t] = column
+    values = cells["value"].to_numpy()
+    by_taxon = {
+        t: (row[at], values[at]) for t, at in cells.groupby("taxon", sort=False).indices.items()
+    }
     return np.asarray(ids), by_taxon
 
 
+def _totals(by_taxon: dict, n: int, power: int) -> np.ndarray:
+    total = np.zeros(n)
+    for rows, values in by_taxon.values():
+        total[rows] += values**power
+    return total
+
+
 def _bray_curtis(a: dict, b: dict, na: int, nb: int) -> tuple[np.ndarray, np.ndarray]:
     shared = np.zeros((na, nb))
     for t in a.keys() & b.keys():
-        shared += np.minimum(a[t][:, None], b[t][None, :])
-    mass = sum(a.values(), np.zeros(na))[:, None] + sum(b.values(), np.zeros(nb))[None, :]
+        (i, v), (j, w) = a[t], b[t]
+        shared[np.ix_(i, j)] += np.minimum.outer(v, w)
+    mass = _totals(a, na, 1)[:, None] + _totals(b, nb, 1)[None, :]
     with np.errstate(divide="ignore", invalid="ignore"):
         return 1.0 - 2.0 * shared / mass, shared > 0
 
 
 def _euclidean(a: dict, b: dict, na: int, nb: int) -> tuple[np.ndarray, np.ndarray]:
-    square = np.zeros((na, nb))
-    for t in a.keys() | b.keys():
-        left, right = a.get(t, np.zeros(na)), b.get(t, np.zeros(nb))
-        square += (left[:, None] - right[None, :]) ** 2
+    product = np.zeros((na, nb))
+    for t in a.keys() & b.keys():
+        (i, v), (j, w) = a[t], b[t]
+        product[np.ix_(i, j)] += np.multiply.outer(v, w)
+    size = _totals(a, na, 2)[:, None] + _totals(b, nb, 2)[None, :]
+    square = size - 2.0 * product
+    # where nearly all cancels, the digits left are noise: add up the differences
+    close = np.argwhere(square <= CANCELLED * size)
+    if len(close):
+        left, right = _by_sample(a), _by_sample(b)
+        for i, j in close:
+            x, y = left.get(i, {}), right.get(j, {})
+            square[i, j] = sum((x.get(t, 0.0) - y.get(t, 0.0)) ** 2 for t in x.keys() | y.keys())
     return np.sqrt(square), np.ones((na, nb), dtype=bool)
 
 
+def _by_sample(by_taxon: dict) -> dict:
+    out: dict = {}
+    for t, (rows, values) in by_taxon.items():
+        for i, v in zip(rows.tolist(), values.tolist(), strict=True):
+            out.setdefault(i, {})[t] = v
+    return out
+
+
 def _pair_table(
     df: DataFrame,
     sample: str,

@@ -150,16 +150,8 @@ def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False) ->
             for c in cols
         ]
         return df.agg(F.array(*parts).alias("r")).select(F.inline("r"))
-    one = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("string").alias("v"))
-                for c in cols
-            ]
-        )
-    )
-    values = df.select(one.alias("p")).select("p.*").distinct()
-    return values.groupBy("variable").agg(F.count("v").alias("n"))
+    parts = [F.struct(F.lit(c).alias("variable"), F.count_distinct(F.col(f"`{c}`")).alias("n")) for c in cols]
+    return df.agg(F.array(*parts).alias("r")).select(F.inline("r"))
 
 
 def crosstab_long(df: DataFrame, cols: Sequence[str], name: str = "n") -> DataFrame:
@@ -248,10 +240,10 @@ def richness(
     value: str | None = None,
     name: str = "richness",
 ) -> DataFrame:
-    """Number of taxa in each sample."""
+    """Number of taxa in each sample; 0 for one whose values are all zero."""
     samples = _names(sample)
-    found = present_cells(df, samples, taxon, value)
-    return found.groupBy(*samples).agg(F.count(taxon).alias(name))
+    found = F.when(F.col("present"), F.col(taxon))
+    return _cells(df, samples, taxon, value).groupBy(*samples).agg(F.count(found).alias(name))
 
 
 def matrix_fill(
@@ -280,7 +272,8 @@ def histogram_edges(df: DataFrame, col: str, breaks: int | None = None) -> list[
 
 def histogram(df: DataFrame, col: str, breaks: int | Sequence[float] | None = None) -> DataFrame:
     """Counts in cells open on the left and closed on the right; the first cell
-    also holds its left edge. Cells without values are listed with 0."""
+    also holds its left edge. Cells without values are listed with 0. A value
+    that no cell holds is an error; missing values are not counted."""
     edges = breaks if isinstance(breaks, Sequence) else histogram_edges(df, col, breaks)
     edges = [float(e) for e in edges]
     if len(edges) < 2:
@@ -288,22 +281,11 @@ def histogram(df: DataFrame, col: str, breaks: int | Sequence[float] | None = No
     last = len(edges) - 1
     slack = 1e-7 * sorted(b - a for a, b in zip(edges, edges[1:]))[(last - 1) // 2]
     x = F.col(col).cast("double")
-    inside = x.between(edges[0] - slack, edges[-1] + slack)
-    cells = []
-    for i in range(last):
-        above = x > edges[i] + slack if i else inside
-        cells.append(
-            F.struct(
-                F.lit(edges[i]).alias("low"),
-                F.lit(edges[i + 1]).alias("high"),
-                F.count_if(inside & above & (x <= edges[i + 1] + slack)).alias("n"),
-            )
-        )
-    if last <= 64:
-        return df.agg(F.array(*cells).alias("r")).select(F.inline("r"))
+    covered = x.between(edges[0] - slack, edges[-1] + slack)
+    message = F.concat(F.lit(f"no cell of the histogram holds this value of {col}: "), x.cast("string"))
     bounds = F.array(*[F.lit(e + slack) for e in edges[1:-1]])
-    cell = F.size(F.filter(bounds, lambda b: b < x))
-    counted = df.filter(inside).groupBy(cell.alias("__i")).agg(F.count(F.lit(1)).alias("n"))
+    cell = F.when(covered, F.size(F.filter(bounds, lambda b: b < x))).otherwise(F.raise_error(message).cast("int"))
+    counted = df.filter(x.isNotNull()).groupBy(cell.alias("__i")).agg(F.count(F.lit(1)).alias("n"))
     rows = F.posexplode(
         F.arrays_zip(
             F.array(*[F.lit(e) for e in edges[:-1]]).alias("low"),

@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,22 @@ def test_samples_sharing_nothing_and_empty_samples(spark, rows):
     assert rows(D.bray_curtis(df, "sample", "taxon", "v", only_sharing=True)) == [("a", "c", pytest.approx(1 / 3))]
 
 
+@pytest.mark.parametrize("taxa", [20, 2000])
+def test_a_block_keeps_as_many_numbers_as_cells(taxa):
+    rng = np.random.default_rng(3)
+    cells = pd.DataFrame({"sample": rng.integers(0, 64, 4000), "taxon": rng.integers(0, taxa, 4000)})
+    cells = cells.drop_duplicates(ignore_index=True).assign(value=1.0)
+    _, by_taxon = D._rows(cells)
+    assert sum(len(v) for _, v in by_taxon.values()) == len(cells)
+
+
+def test_equal_samples_are_no_distance_apart(spark, rows):
+    data = [(s, f"t{i}", 0.1 * i + 1e6) for s in "ab" for i in range(9)] + [("c", f"t{i}", 0.1 * i + 1e6) for i in range(8)]
+    data.append(("c", "t8", 0.8 + 1e6 + 0.25))
+    out = D.euclidean(spark.createDataFrame(data, "s string, t string, v double"), "s", "t", "v").sort("sample_1", "sample_2")
+    assert [r["distance"] for r in out.collect()] == [0.0, pytest.approx(0.25), pytest.approx(0.25)]
+
+
 def test_blocks_bound_a_task():
     assert D.block_count(700, 8) == 4 and D.block_count(10, 8) == 1
     assert D.block_count(100_000, 8) == math.ceil(100_000 / D.BLOCK)

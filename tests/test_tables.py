@@ -231,6 +231,22 @@ def test_histogram_counts_every_value_once(spark, cells):
     assert first["n"] == len([v for v in values if v is not None and v <= first["high"]])
 
 
+def test_histogram_refuses_values_outside_its_cells(spark):
+    df = spark.createDataFrame([(1.0,), (3.0,), (None,)], "x double")
+    with pytest.raises(Exception, match="no cell of the histogram"):
+        S.histogram(df, "x", [0.0, 1.0, 2.0]).collect()
+
+
+def test_samples_where_nothing_was_found_have_richness_zero(spark, rows):
+    df = spark.createDataFrame([("a", "x", 0.0), ("a", "y", None), ("b", "x", 2.0)], "s string, t string, v double")
+    assert rows(S.richness(df, "s", "t", "v")) == [("a", 0), ("b", 1)]
+
+
+def test_signed_zeros_are_one_value(spark, rows):
+    df = spark.createDataFrame([(0.0, "a"), (-0.0, None), (None, "a")], "x double, `t.u` string")
+    assert rows(S.distinct_counts(df, ["x", "t.u"])) == [("t.u", 1), ("x", 1)]
+
+
 def test_sorting_puts_missing_last(spark):
     df = spark.createDataFrame([(None,), (2,), (1,)], "x int")
     assert [r[0] for r in O.sort_na_last(df, ["x"]).collect()] == [1, 2, None]
