@@ -14,7 +14,7 @@ several shingles, so a passage that many texts share is not a meeting place.
 *Bounds.* A signature of 512 bits is toggled once per element. The bits in which
 two signatures differ are at most the elements in which the sets differ, which
 bounds the overlap from above. Only pairs that pass get their sets
-intersected, as sorted arrays.
+intersected, as sorted arrays; they travel as packed texts.
 
 *No pairs of whole groups.* First every set of a meeting place is compared with
 its first one; what this links is connected. Only meeting places that still hold
@@ -31,11 +31,14 @@ texts is lost by comparing only what is not connected already.
 
 import functools
 import math
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -51,6 +54,8 @@ LANES = BITS // 64
 BLOCK = 512
 #: sizes in a band: this many steps of the largest possible ratio of linked sizes
 STEPS = 3
+#: elements of sets a task keeps while it intersects pairs
+KEPT = 4_000_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -138,7 +143,8 @@ def signature(elements: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
-    """doc_id, n, d1, d2 (digest of the set), signature lanes b0.., keys."""
+    """doc_id, mark (hash of the text), n, d1, d2 (digest of the set), signature
+    lanes b0.., keys."""
 
     def make():
         def work(texts: list) -> dict[str, pa.Array]:
@@ -159,7 +165,8 @@ def sketched(docs: DataFrame, doc_id: str, text: str, words: int, percent: int)
         return work
 
     lanes = ", ".join(f"b{i} bigint" for i in range(LANES))
-    base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    mark = F.xxhash64(F.col(text)).alias("mark")
+    base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), mark, F.col(text).alias("text"))
     return over_texts(base, "text", make, f"n bigint, d1 bigint, d2 bigint, {lanes}, keys array<bigint>")
 
 
@@ -176,10 +183,38 @@ def may_link(a: str, b: str, percent: int) -> Column:
     return linked(F.floor((na + nb - least) / 2), na, nb, percent)
 
 
-@F.pandas_udf(LongType())
-def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Size of the intersection of two sorted arrays without repeats."""
-    return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
+def overlaps(words: int) -> Callable[..., Column]:
+    """Size of the intersection of the sets of two texts, from (id, packed text)
+    of each; the sets last met, up to ``KEPT`` elements, are not made again."""
+
+    @F.pandas_udf(LongType())
+    def overlap(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        known: OrderedDict[int, np.ndarray] = OrderedDict()
+        held = 0
+
+        def elements(key: int, packed: bytes) -> np.ndarray:
+            nonlocal held
+            if key in known:
+                known.move_to_end(key)
+                return known[key]
+            found = known[key] = shingle_set(unpack(packed).decode("utf-8", "surrogatepass"), words)
+            held += len(found)
+            while held > KEPT and len(known) > 1:
+                held -= len(known.popitem(last=False)[1])
+            return found
+
+        def common(x: np.ndarray, y: np.ndarray) -> int:
+            if len(x) > len(y):
+                x, y = y, x
+            at = np.searchsorted(y, x)
+            return int((y[np.minimum(at, len(y) - 1)] == x).sum())
+
+        for a, packed_a, b, packed_b in batches:
+            rows = zip(a, packed_a, b, packed_b, strict=True)
+            yield pd.Series([common(elements(i, x), elements(j, y)) for i, x, j, y in rows], dtype="int64")
+
+    return overlap
 
 
 class Join:
@@ -202,7 +237,7 @@ class Join:
         lanes = [f"b{i}" for i in range(LANES)]
         ids = self.classes.df.select("id")
         of_class = lambda t: t.withColumnRenamed("row", "id").join(ids, "id", "left_semi")
-        small = of_class(self.rows.df).select("id", "doc_id", "n", "d1", "d2", *lanes)
+        small = of_class(self.rows.df).select("id", "doc_id", "mark", "n", *lanes)
         places = of_class(self._wide.df.select("row", "keys")).select("id", F.explode("keys").alias("key"))
         shared = places.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).where("members > 1")
         met = Staged(places.join(shared, "key"))
@@ -256,32 +291,27 @@ class Join:
         )
         kept = Staged(bounded)
         wanted = kept.df.select(F.col("a").alias("id")).union(kept.df.select("b")).distinct()
-        known = small.select("id", "doc_id", "n", "d1", "d2").join(wanted, "id", "left_semi")
-        of = known.select(F.col("doc_id").alias("_id")).distinct()
-        texts = self._docs.join(of, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        words = self._words
+        known = small.select("id", "doc_id", "mark", "n").join(wanted, "id", "left_semi")
+        of = known.select("id", "n", F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"))
+        same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_mark"))
+        texts = self._docs.join(of, same).select("id", "n", "text")
 
         def make():
+            pack = zstandard.ZstdCompressor(level=3).compress
+
             def work(texts: list) -> dict[str, pa.Array]:
-                sets = [shingle_set(t, words) for t in texts]
-                ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-                # signed, and sorted as such
-                values = np.concatenate([np.sort(s.view(np.int64)) for s in sets])
-                out = {"set": pa.ListArray.from_arrays(pa.array(ends), pa.array(values))}
-                out["n"] = pa.array(np.diff(ends).astype(np.int64))
-                for name, salt in (("d1", 1), ("d2", 2)):
-                    sums = [int(mixed(s + np.uint64(salt)).sum()) for s in sets]
-                    out[name] = pa.array(np.array(sums, np.uint64).view(np.int64))
-                return out
+                packed = [pack((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+                return {"packed": pa.array(packed, pa.binary())}
 
             return work
 
-        sets = over_texts(texts, "text", make, "set array<bigint>, n bigint, d1 bigint, d2 bigint").drop("doc_id")
-        sets = known.drop("doc_id").join(sets, ["n", "d1", "d2"]).select("id", "n", "set")
-        sets = sets.groupBy("id").agg(F.first("n").alias("n"), F.first("set").alias("set"))
+        # packed texts are much smaller than their sets, of which each element is eight random bytes
+        sets = over_texts(texts, "text", make, "packed binary")
+        sets = sets.groupBy("id").agg(F.first("n").alias("n"), F.first("packed").alias("packed"))
         x, y = sets.alias("x"), sets.alias("y")
         both = kept.df.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
-        both = both.select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"), overlap("x.set", "y.set").alias("i"))
+        shared = overlaps(self._words)("a", "x.packed", "b", "y.packed").alias("i")
+        both = both.select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"), shared)
         return both.where(linked(F.col("i"), F.col("na"), F.col("nb"), self._percent)).select("a", "b")
 
 
