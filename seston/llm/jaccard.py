@@ -104,7 +104,8 @@ def parts_of(band: int, percent: int) -> int:
     """Parts of a tile: enough that even with some of them empty more are left
     than the largest set of the band can differ in."""
     n = band_start(band + 1, percent) - 1
-    apart = most_apart(n, percent)
+    # no linked sets of at most n elements each differ in more
+    apart = 2 * (100 - percent) * n // (100 + percent)
     if not apart:
         return 1
     likely = {}
@@ -238,7 +239,8 @@ class Join:
         ids = self.classes.df.select("id")
         of_class = lambda t: t.withColumnRenamed("row", "id").join(ids, "id", "left_semi")
         small = of_class(self.rows.df).select("id", "doc_id", "mark", "n", *lanes)
-        places = of_class(self._wide.df.select("row", "keys")).select("id", F.explode("keys").alias("key"))
+        # dealt by key once: the count and the join below read the same shuffle
+        places = of_class(self._wide.df.select("row", "keys")).select("id", F.explode("keys").alias("key")).repartition("key")
         shared = places.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).where("members > 1")
         met = Staged(places.join(shared, "key"))
         self._wide.drop()
