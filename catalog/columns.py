@@ -32,7 +32,10 @@ def scratch(t, name):
 )
 def _(t):
     folder = scratch(t, "sheets")
-    done, rest = t.orders.filter("o_orderstatus = 'F'"), t.orders.filter("o_orderstatus <> 'F'")
+    # an order without a status is in the second sheet, without its priority
+    is_done = F.coalesce(F.col("o_orderstatus") == "F", F.lit(False))
+    done, rest = t.orders.filter(is_done), t.orders.filter(~is_done)
+    rest = rest.withColumn("o_orderpriority", F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")))
     write_csv(done.select("o_orderkey", "o_totalprice", "o_orderstatus"), f"{folder}/done")
     write_csv(rest.select("o_orderstatus", "o_orderpriority", "o_orderkey"), f"{folder}/rest")
     schema = "o_orderkey long, o_totalprice double, o_orderstatus string, o_orderpriority string"

@@ -78,13 +78,15 @@ def _(t):
     return bray(t).withColumn("distance", F.round("distance", 9))
 
 
+EUCLID = f"""{CELLS}, taxa AS (SELECT DISTINCT taxon FROM cells),
+wide AS (SELECT tot.sample, list(coalesce(v, 0) ORDER BY taxa.taxon) AS x FROM tot CROSS JOIN taxa
+  LEFT JOIN cells ON cells.sample = tot.sample AND cells.taxon = taxa.taxon GROUP BY tot.sample),
+pairs AS (SELECT a.sample AS s1, b.sample AS s2, list_distance(a.x, b.x) AS d FROM wide a JOIN wide b ON a.sample < b.sample)"""
+
+
 @query(
     "euclidean_distance",
-    f"""WITH {CELLS}, taxa AS (SELECT DISTINCT taxon FROM cells),
-    wide AS (SELECT tot.sample, list(coalesce(v, 0) ORDER BY taxa.taxon) AS x FROM tot CROSS JOIN taxa
-      LEFT JOIN cells ON cells.sample = tot.sample AND cells.taxon = taxa.taxon GROUP BY tot.sample)
-    SELECT a.sample AS sample_1, b.sample AS sample_2, round(list_distance(a.x, b.x), 6) AS distance
-    FROM wide a JOIN wide b ON a.sample < b.sample""",
+    f"WITH {EUCLID} SELECT s1 AS sample_1, s2 AS sample_2, round(d, 6) AS distance FROM pairs",
 )
 def _(t):
     return D.euclidean(*cells(t)).withColumn("distance", F.round("distance", 6))
@@ -238,6 +240,18 @@ def _(t):
     )
 
 
+@query(
+    "repeated_measures_euclidean",
+    f"""WITH {EUCLID}, {GROUPS}, {SERIES}, {SQUARES}, result AS (WITH {TABLE})
+    SELECT term, df, r2, f, p FROM result""",
+)
+def _(t):
+    pairs = D.euclidean(*cells(t))
+    test = P.permanova(pairs, stage(groups(t)), "sample", "season", SHIFTS, block_by="site", order="survey")
+    # sums of squares of raw densities are too large for a fixed number of decimals
+    return rounded_table(test).select("term", "df", "r2", "f", "p")
+
+
 @query(
     "repeated_measures_series",
     f"WITH {BRAY}, {GROUPS}, {SERIES}, {SQUARES} SELECT perm, round(r2, 8) AS r2, round(f, 5) AS f FROM series",
