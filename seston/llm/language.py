@@ -12,7 +12,8 @@ what unseen text of the language itself needs, wins.
 * Ties go to the language first in code point order. Equal rows get equal
   results; an empty table gives an empty result.
 * Learning is bounded by ``PER_LANGUAGE`` texts and ``LETTERS`` bytes of
-  distinct words of each language.
+  distinct words of each language. A language of one labelled text is measured
+  like the others, with the mean of all where its text does not suffice.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from seston.llm.common import kept_for, letter_words, over_texts
 
 PER_LANGUAGE = 400
 LETTERS = 60_000
+#: bytes of text below which a language's own norm counts less than that of all
+SHRINK = 20_000
 CACHE = 400_000
 UNKNOWN = "und"
 
@@ -84,28 +87,35 @@ class SuffixAutomaton:
 
 def train(samples: dict[str, list[str]], letters: int = LETTERS) -> dict[str, tuple[bytes, float]]:
     """For every language its words as one string and the phrases per byte
-    that unseen text of the language needs (two halves, crosswise)."""
-    model = {}
+    that unseen text of the language needs.
+
+    The running words of all its texts are halved and parsed crosswise, so one
+    text is enough to measure. Halves of little text know too few words and
+    need too many phrases, so the figure is drawn to that of all languages
+    together as if ``SHRINK`` bytes of each had been measured there."""
+    words, measured = {}, {}
     for lang in sorted(samples):
-        texts = list(dict.fromkeys(samples[lang]))
-        halves = [joined(texts[h::2], letters // 2) for h in (0, 1)]
+        running = [w for t in dict.fromkeys(samples[lang]) for w in letter_words(t)]
+        if not running:
+            continue
+        words[lang] = joined(running, letters)
+        halves = running[: len(running) // 2], running[len(running) // 2 :]
         needed = size = 0
-        for h in (0, 1):
-            auto = SuffixAutomaton(halves[h])
-            for word, n in Counter(w for t in texts[1 - h :: 2] for w in letter_words(t)).items():
+        for known, unseen in (halves, halves[::-1]):
+            auto = SuffixAutomaton(joined(known, letters // 2))
+            for word, n in Counter(unseen).items():
                 needed += n * auto.phrases(b" " + word + b" ")
                 size += n * (len(word) + 1)
-        words = joined(texts, letters)
-        if words.strip():
-            model[lang] = (words, needed / size if size else 1.0)
-    return model
+        measured[lang] = (needed, size)
+    total = sum(s for _, s in measured.values())
+    mean = sum(n for n, _ in measured.values()) / total if total else 1.0
+    return {x: (words[x], (n + SHRINK * mean) / (s + SHRINK)) for x, (n, s) in measured.items() if words[x].strip()}
 
 
-def joined(texts: list[str], letters: int) -> bytes:
+def joined(words: list[bytes], letters: int) -> bytes:
     """Distinct words between blanks, the most frequent first."""
-    met = Counter(w for t in texts for w in letter_words(t))
     out, total = [], 0
-    for w, _ in sorted(met.items(), key=lambda x: (-x[1], x[0])):
+    for w, _ in sorted(Counter(words).items(), key=lambda x: (-x[1], x[0])):
         total += len(w) + 1
         if total > letters:
             break

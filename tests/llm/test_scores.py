@@ -101,6 +101,23 @@ def test_language(spark):
     assert language.identify(edge(spark).limit(0), model).collect() == []
 
 
+def test_language_of_one_text():
+    rng, sizes = random.Random(6), {"aa": 60, "bb": 60, "cc": 1}
+    letters = {"aa": "aeilnrst", "bb": "oubdgkmz", "cc": "yhwfvpcj"}
+    known = {x: ["".join(rng.choice(s) for _ in range(rng.randint(2, 6))) for _ in range(80)] for x, s in letters.items()}
+    draw = lambda x, n=60: " ".join(rng.choice(known[x]) for _ in range(n))
+    model = language.train({x: [draw(x) for _ in range(n)] for x, n in sizes.items()})
+    norms = [m[1] for m in model.values()]
+    assert max(norms) < 1.5 * min(norms)
+    parser = language.Parser(model)
+    assert all(parser(draw(x))[0] == x for x in letters for _ in range(20))
+    # one mistaken label in a language that is well covered takes over nothing
+    model = language.train({"aa": [draw("aa") for _ in range(60)], "zz": [draw("aa", 20)], "yy": ["?! 1"], "xx": ["tin"]})
+    assert sorted(model) == ["aa", "xx", "zz"]
+    parser = language.Parser(model)
+    assert all(parser(draw("aa"))[0] == "aa" for _ in range(20))
+
+
 def test_licenses(spark):
     scanner = licenses.Scanner()
     filler = "some ordinary words that say nothing. " * 30
