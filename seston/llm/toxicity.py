@@ -1,11 +1,12 @@
 """Toxicity: maximum-scoring passages over token log-odds.
 
-Training compares in how many toxic and other texts a feature occurs: a word
-(a run of letters, lower-cased) or a leading part of it. Log-odds are taken with
-an informative Dirichlet prior, the feature's share in both classes together,
-so rare features shrink to 0; what counts is their lower confidence bound. A
-word weighs as its best feature where it first occurs in a text if that is above
-0, and ``-DRIFT`` otherwise.
+Training compares the shares of a feature among the words of toxic and of other
+texts: a word (a run of letters, lower-cased) or a leading part of it. Log-odds
+are taken with an informative Dirichlet prior, the feature's share in both
+classes together, so rare features shrink to 0; what counts is their confidence
+bound nearest to 0, by the number of texts the feature is in. Every occurrence
+of a word weighs as its feature of the strongest evidence, for or against; words
+that do not speak for toxicity weigh ``DRIFT`` less, and end a passage.
 
 A linear scan (all maximal-scoring subsequences) over a text's words finds every
 passage whose weight cannot be raised by making it longer or shorter. Passage
@@ -37,9 +38,10 @@ PER_CLASS = 1500
 PREFIXES = (4, 5, 6, 7)
 PRIOR = 50.0
 BOUND = 3.0
-#: toxic texts that a feature must occur in; fewer cannot pass the bound
+#: texts that a feature must occur in; fewer cannot pass the bound
 FEWEST = 4
 DRIFT = 0.5
+CACHE = 400_000
 SIGNIFICANT = 0.01
 THRESHOLD = 0.7
 
@@ -70,61 +72,87 @@ def features(word: bytes) -> list[str]:
     return [letters] + [letters[:n] + "*" for n in PREFIXES if len(letters) > n]
 
 
-class Weights:
-    """Weights of the words of a text that say something of toxicity."""
+class Weights(dict):
+    """Weights of words, found once each and kept up to ``CACHE`` words."""
 
     def __init__(self, known: dict[str, float]):
         self._known = known
-        self._starts = {f.rstrip("*").encode()[: PREFIXES[0]] for f in known}
-
-    def of(self, words: list[bytes]) -> dict[int, float]:
-        """By position; a word said again says nothing new. Most words end at
-        the look at their first bytes."""
-        starts, n, found, said = self._starts, PREFIXES[0], {}, set()
-        for i in [i for i, w in enumerate(words) if w[:n] in starts]:
-            word = words[i]
-            if word not in said:
-                said.add(word)
-                weight = max([self._known.get(f, 0.0) for f in features(word)])
-                if weight > 0:
-                    found[i] = weight
-        return found
-
-
-def log_odds(toxic: Counter, na: int, other: Counter, nb: int) -> dict[str, float]:
-    """Features whose log-odds are above 0 by ``BOUND`` standard deviations.
-    The counters hold in how many of ``na`` and ``nb`` texts a feature is."""
+
+    def __missing__(self, word: bytes) -> float:
+        evidence = max((self._known.get(f, 0.0) for f in features(word)), key=abs)
+        self[word] = weight = evidence if evidence > 0 else evidence - DRIFT
+        return weight
+
+    def of(self, words: list[bytes]) -> list[float]:
+        """The weight of every word of a text, each time it occurs."""
+        if len(self) > CACHE:
+            self.clear()
+        return list(map(self.__getitem__, words))
+
+
+@dataclass
+class Counts:
+    """Of every feature the texts that have it and its occurrences; the number
+    of all texts and words."""
+
+    texts: Counter = field(default_factory=Counter)
+    places: Counter = field(default_factory=Counter)
+    n: int = 0
+    words: int = 0
+
+    def __add__(self, other: Counts) -> Counts:
+        return Counts(self.texts + other.texts, self.places + other.places, self.n + other.n, self.words + other.words)
+
+
+def log_odds(toxic: Counts, other: Counts) -> dict[str, float]:
+    """Features whose log-odds are ``BOUND`` standard deviations above or below
+    0, less these deviations. A text that repeats a feature is one witness."""
     found = {}
-    na, nb = max(1, na), max(1, nb)
-    for f, y in toxic.items():
-        z = other.get(f, 0)
-        share = (y + z) / (na + nb)
-        prior = PRIOR * share
-        up = math.log((y + prior) / (na + PRIOR - y - prior + 1e-9))
-        down = math.log((z + prior) / (nb + PRIOR - z - prior + 1e-9))
-        low = up - down - BOUND * math.sqrt(1 / (y + prior) + 1 / (z + prior))
-        if low > 0:
-            found[f] = low
+    na, nb, n = max(1, toxic.words), max(1, other.words), max(1, toxic.n + other.n)
+    mass = PRIOR * (na + nb) / n  # the words of PRIOR texts
+    for f in toxic.texts.keys() | other.texts.keys():
+        y, z = toxic.places[f], other.places[f]
+        prior = mass * (y + z) / (na + nb)
+        up = math.log((y + prior) / (na + mass - y - prior + 1e-9))
+        down = math.log((z + prior) / (nb + mass - z - prior + 1e-9))
+        y, z = toxic.texts[f], other.texts[f]
+        prior = PRIOR * (y + z) / n
+        bound = BOUND * math.sqrt(1 / (y + prior) + 1 / (z + prior))
+        if abs(up - down) > bound:
+            found[f] = math.copysign(abs(up - down) - bound, up - down)
     return found
 
 
-def occurrences(texts: list[str], only: set[str] | None = None) -> Counter:
-    """In how many texts every feature occurs; ``only`` those of a set."""
+def frequent(texts: list[str]) -> set[str]:
+    """Features that are in at least ``FEWEST`` texts."""
     met: Counter = Counter()
-    starts = only and {f.rstrip("*").encode()[: PREFIXES[0]] for f in only}
     for t in texts:
-        words = set(letter_words(t))
-        if only is None:
-            met.update({f for w in words for f in features(w)})
-        else:
-            near = [w for w in words if w[: PREFIXES[0]] in starts]
-            met.update({f for w in near for f in features(w)} & only)
-    return met
+        met.update({f for w in set(letter_words(t)) for f in features(w)})
+    return {f for f, n in met.items() if n >= FEWEST}
 
 
-def maximal_passages(at: list[int], weight: list[float], drift: float = DRIFT) -> list[tuple[int, int, float]]:
+def occurrences(texts: list[str], only: set[str]) -> Counts:
+    counts = Counts()
+    for t in texts:
+        words = letter_words(t)
+        places: Counter = Counter()
+        for w, n in Counter(words).items():
+            for f in features(w):
+                if f in only:
+                    places[f] += n
+        counts.texts.update(places.keys())
+        counts.places.update(places)
+        counts.n += 1
+        counts.words += len(words)
+    return counts
+
+
+def maximal_passages(
+    at: list[int], weight: list[float], drift: float = DRIFT, between: list[float] | None = None
+) -> list[tuple[int, int, float]]:
     """All maximal-scoring runs (first word, last word, score) of a text whose
-    words weigh ``-drift`` except those at ``at``.
+    words weigh ``-drift`` except those at ``at``; or, if ``between`` is given,
+    that much in all between each of these and the one before.
 
     One pass over the positive words. Each candidate holds the sums before and
     after it; a new one is joined to the nearest earlier candidate that begins
@@ -132,8 +160,8 @@ def maximal_passages(at: list[int], weight: list[float], drift: float = DRIFT) -
     """
     runs: list[list[float]] = []  # first, last, sum before, sum after
     total, last = 0.0, -1
-    for i, w in zip(at, weight, strict=True):
-        total -= drift * (i - last - 1)
+    for k, (i, w) in enumerate(zip(at, weight, strict=True)):
+        total += between[k] if between is not None else -drift * (i - last - 1)
         new = [i, i, total, total + w]
         total += w
         last = i
@@ -156,8 +184,13 @@ class Scorer:
     def runs(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         """Number of words and the maximal passages in words."""
         words = letter_words(text)
-        weights = self._weights.of(words)
-        return len(words), maximal_passages(list(weights), list(weights.values()))
+        weights = np.array(self._weights.of(words))
+        at = np.flatnonzero(weights > 0)
+        if not len(at):
+            return len(words), []
+        after = np.cumsum(weights)[at]
+        between = np.diff(after, prepend=0.0) - weights[at]
+        return len(words), maximal_passages(at.tolist(), weights[at].tolist(), between=between.tolist())
 
     def measured(self, text: str | None) -> tuple[np.ndarray, list[tuple[int, int, float, float]]]:
         """Best and summed normalised score, and the significant passages."""
@@ -187,23 +220,18 @@ def train(sample: list[tuple[str, int]]) -> Model:
         model = Model()
         model.curve[0] = math.log((len(kind[1]) + 1) / (len(kind[0]) + 1))
         return model
-    met = [[occurrences(kind[1][h::2])] for h in (0, 1)]
-    known = met[0][0] + met[1][0]
-    enough = {f for f, n in known.items() if n >= FEWEST}
-    known = Counter({f: known[f] for f in enough})
-    for h in (0, 1):
-        met[h] = [Counter({f: n for f, n in met[h][0].items() if f in enough}), occurrences(kind[0][h::2], enough)]
-    size = lambda v, h: len(kind[v][h::2])
+    enough = frequent(kind[0] + kind[1])
+    met = [[occurrences(kind[v][h::2], enough) for v in (0, 1)] for h in (0, 1)]
     x, y = [], []
     for half in (0, 1):
-        part = Model(log_odds(met[half][0], size(1, half), met[half][1], size(0, half)))
+        part = Model(log_odds(met[half][1], met[half][0]))
         law(part, kind[0][half::2])
         scorer = Scorer(part)
         for v in (0, 1):
             for t in kind[v][1 - half :: 2]:
                 x.append(scorer.measured(t)[0])
                 y.append(v)
-    model = Model(log_odds(known, len(kind[1]), met[0][1] + met[1][1], len(kind[0])))
+    model = Model(log_odds(met[0][1] + met[1][1], met[0][0] + met[1][0]))
     law(model, kind[0])
     fitted = fit_logistic(np.array(x), np.array(y), ridge=1e-4)
     model.curve[: len(fitted)] = fitted
@@ -218,12 +246,10 @@ def law(model: Model, others: list[str]) -> None:
     for t in others:
         tokens = letter_words(t)
         words += len(tokens)
-        found = weights.of(tokens)
-        met.update(found.values())
-        met[0.0] += len(tokens) - len(found)
+        met.update(weights.of(tokens))
     if not words:
         return
-    values = np.array([w if w > 0 else -DRIFT for w in met] + [max(model.weights.values(), default=1.0)])
+    values = np.array([*met, max([w for w in model.weights.values() if w > 0], default=1.0)])
     counts = np.array([*met.values(), 1.0])
     mean = lambda r: (counts * np.exp(np.minimum(r * values, 700))).sum() / counts.sum()
     low, high = 1e-6, 16.0

@@ -54,6 +54,28 @@ def test_toxicity(spark):
     assert all(0 < toxicity.Scorer(toxicity.train(s))("x").score < 1 for s in ([], [("a b", 1)]))
 
 
+def test_every_toxic_passage_is_found():
+    rng, common, _ = corpus(3)
+    vile = ["vilefool", "nastyman", "rotbrain"]
+    text = lambda n: [rng.choice(common) for _ in range(n)]
+    other = [" ".join(["kindword", *text(60)]) for _ in range(150)]
+    toxic = [" ".join(text(30) + rng.sample(vile, 2) + text(30)) for _ in range(150)]
+    model = toxicity.train([(t, 0) for t in other] + [(t, 1) for t in toxic])
+    scorer = toxicity.Scorer(model)
+    # the same passage twice
+    found = scorer(" ".join(text(50) + vile + text(100) + vile + text(50)))
+    assert [(f, x) for f, x, *_ in found.passages] == [(50, 52), (153, 155)]
+    # single early mentions, far apart, before a dense passage
+    apart = [w for v in vile for w in [v, *text(60)]]
+    found = scorer(" ".join(apart + vile + text(40)))
+    dense = next(p for p in found.passages if p[:2] == (len(apart), len(apart) + 2))
+    assert dense[2] > 2.5 * min(model.weights[v] for v in vile)
+    # evidence against toxicity is taken into account, in the scan too
+    assert model.weights["kindword"] < 0
+    plain, kind = (scorer.runs(" ".join([vile[0], w, vile[1]]))[1] for w in ("word", "kindword"))
+    assert plain[0][2] - sum(r[2] for r in kind if len(kind) == 1) > -model.weights["kindword"] - 1e-9
+
+
 def test_quality(spark):
     rng, common, good = corpus(1)
     bad = [" ".join(w.upper() + rng.choice(["!!", "%%%"]) for w in t.split()) for t in good]
