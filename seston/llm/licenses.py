@@ -5,14 +5,17 @@ hashes of ``GRAM`` letters and digits the smallest is kept. They form an inverte
 index from hash to (template, place). A text is winnowed whole in the same way;
 a hash it shares with the index proposes a template at a place. Around each
 proposed place the words of template and text are aligned within a band, and a
-match is reported if enough of the template's words are found in order.
+match is reported if enough of the template's words are found in order and the
+words that tell licenses apart are the same: between its ends, a match has the
+``NAMES`` of the template and no others, and the numbers of the template in order.
 
 * NULL, empty texts and texts without letters and digits have no matches.
 * Case, punctuation and line breaks do not count.
 * Of overlapping matches the one with most matched words stays, then the one
   with the larger coverage, then the earlier one.
 * Equal rows get equal results; an empty table gives an empty result.
-* The index is held by every task; templates are a fixed, short list.
+* The index is held by every task; templates are a fixed, short list of notices.
+  Full license texts are not among them.
 """
 
 from __future__ import annotations
@@ -31,6 +34,15 @@ BAND = 6
 COVERAGE = 0.8
 WORD = re.compile(rb"[a-z0-9]+")
 
+#: words that carry the identity of a license
+NAMES = frozenset(
+    b"apache mit bsd isc mozilla mpl gnu gpl lgpl agpl general lesser library affero cc cc0 creative commons zero by nc "
+    b"nd sa attribution noncommercial noderivatives noderivs sharealike eclipse boost artistic eupl unlicense zlib".split()
+)
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by the "
+    "Free Software Foundation, either version {} of the License, or (at your option) any later version."
+)
 #: fixed values: short notices of public licenses
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -55,6 +67,37 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    *[
+        (f"CC-{short}-4.0", text)
+        for short, name in [
+            ("BY-SA", "ShareAlike"), ("BY-ND", "NoDerivatives"),
+            ("BY-NC-SA", "NonCommercial-ShareAlike"), ("BY-NC-ND", "NonCommercial-NoDerivatives"),
+        ]
+        for text in (
+            f"Licensed under CC {short} 4.0.",
+            f"This work is licensed under a Creative Commons Attribution-{name} 4.0 International License.",
+        )
+    ],
+    ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
+    *[
+        (spdx, text)
+        for spdx, name, version in [
+            ("GPL-2.0", "GNU General Public License", "2"), ("LGPL-2.1", "GNU Lesser General Public License", "2.1"),
+            ("LGPL-3.0", "GNU Lesser General Public License", "3"), ("AGPL-3.0", "GNU Affero General Public License", "3"),
+        ]
+        for text in (f"This work is licensed under the {name}, version {version}.", _GNU.format(name, version))
+    ],
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
+    ("ISC", "Licensed under the ISC License."),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     (
         "BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
@@ -107,6 +150,18 @@ def align(template: list[bytes], words: list[bytes], shift: int, band: int = BAN
     return max(best.values(), key=lambda x: (x[0], -(x[2] - x[1])), default=(0, -1, -1))
 
 
+def marks(words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """The names among words, and the numbers."""
+    return [w for w in words if w in NAMES], [w for w in words if w.isdigit()]
+
+
+def same_license(template: list[bytes], words: list[bytes]) -> bool:
+    names, numbers = marks(template)
+    found, rest = marks(words)
+    rest = iter(rest)
+    return names == found and all(n in rest for n in numbers)
+
+
 class Scanner:
     def __init__(self, templates: list[tuple[str, str]] = TEMPLATES, coverage: float = COVERAGE):
         self._coverage = coverage
@@ -148,7 +203,7 @@ class Scanner:
                 low = max(0, diagonal - BAND)
                 part = words[low : diagonal + len(template) + BAND]
                 n, first, last = align(template, part, diagonal - low)
-                if n >= self._coverage * len(template):
+                if n >= self._coverage * len(template) and same_license(template, part[first : last + 1]):
                     found.append((k, n / len(template), spans[low + first][0], spans[low + last][1]))
         return self._distinct(found, data)
 

@@ -153,6 +153,23 @@ def test_licenses(spark):
     assert len(got) == len(EDGE) and all(r.matches == [] for r in got)
 
 
+def test_near_misses_of_licenses():
+    scanner = licenses.Scanner()
+    filler = "some ordinary words that say nothing. " * 5
+    names = lambda text: [m[0] for m in scanner(filler + text + " " + filler)]
+    assert names("Licensed under the same License.") == names("Licensed under the BSD License.") == []
+    assert names("Licensed under CC BY 4.0.") == ["CC-BY-4.0"]
+    assert names("Licensed under CC BY 3.0.") == names("Licensed under CC BY-NC 3.0.") == []
+    for name, version, spdx in [
+        ("", 2, "GPL-2.0"), ("", 3, "GPL-3.0"), ("Lesser ", 3, "LGPL-3.0"), ("Affero ", 3, "AGPL-3.0"), ("Library ", 2, None)
+    ]:
+        given = f"This work is licensed under the GNU {name}General Public License, version {version}."
+        assert names(given) == [spdx] * bool(spdx), given
+    for name, spdx in [("", "BY"), ("-ShareAlike", "BY-SA"), ("-NonCommercial", "BY-NC"), ("-NonCommercial-NoDerivatives", "BY-NC-ND")]:
+        given = f"This work is licensed under a Creative Commons Attribution{name} 4.0 International License."
+        assert names(given) == [f"CC-{spdx}-4.0"], given
+
+
 def test_alignment_against_plain_recursion():
     rng = random.Random(8)
     for _ in range(200):
