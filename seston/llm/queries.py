@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seston.llm import fingerprint, jaccard, language, licenses, links, mixing, near_vectors, pieces, quality, toxicity
+from seston.llm import bpe, fingerprint, jaccard, language, licenses, links, mixing, near_vectors, pieces, quality, toxicity
 from seston.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,18 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     model = quality.learn(docs, table(spark, folder, "labels"), fold("doc_id", 4) != 2)
     found = quality.score(docs.select("doc_id", "text", held_out(4, 2).alias("held_out")), model)
     return found.select("doc_id", "held_out", "score", "predicted")
+
+
+def digest(text: Column) -> Column:
+    return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
+@query
+def op12_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return bpe.encode(docs).select(
+        "doc_id",
+        "n_tokens",
+        digest(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"),
+        digest(F.col("decoded")).alias("decoded_sha256"),
+    )
