@@ -239,10 +239,12 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Ids of every text; words that are new in them are merged together."""
-        cut = [None if t is None else self.cut(t) if "<|" in t else self.model.words(t) for t in texts]
+        special = self.model.special
+        marked = lambda t: any(s in t for s in special)
+        cut = [None if t is None else self.cut(t) if marked(t) else self.model.words(t) for t in texts]
         if len(self._known) > CACHE // 2:  # what is not met again is forgotten
             self._older, self._known = self._known, {}
-        known, older, special = self._known, self._older, self.model.special
+        known, older = self._known, self._older
         new = []
         for w in set(chain.from_iterable(c for c in cut if c)).difference(known):
             if w in older:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seston.llm import bpe, fingerprint, jaccard, language, licenses, links, mixing, near_vectors, pieces, quality, toxicity
+from seston.llm import bpe, fingerprint, jaccard, language, licenses, links, mixing, near_vectors, pieces, quality, spelling, toxicity
 from seston.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,14 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+@query
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+ORACLE["op11_spelling"] = spelling.SQL
+
+
 def digest(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
