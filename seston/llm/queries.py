@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seston.llm import bpe, fingerprint, jaccard, language, licenses, links, mixing, near_vectors, pieces, quality, spelling, toxicity
+from seston.durable import Staged
+from seston.llm import align, bpe, fingerprint, jaccard, language, licenses, links, mixing, near_vectors, pieces, quality, spelling, toxicity
 from seston.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +121,12 @@ def op12_bpe(spark: SparkSession, folder: str) -> DataFrame:
         digest(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"),
         digest(F.col("decoded")).alias("decoded_sha256"),
     )
+
+
+@query
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    sha = F.when(F.col("groups") == "", "").otherwise(digest(F.col("groups"))).alias("groups_sha256")
+    numbers = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]
+    found = Staged(align.align(docs).select(*numbers, sha, "block", "pairs", "times")).df
+    return align.counted(found, align.SIZE_B).select(*numbers, "n_best", "count_sum", "groups_sha256")
