@@ -121,53 +121,101 @@ def _(t):
     return D.ordination_input(*cells(t)).withColumn("density", F.round("density", 9))
 
 
+# sites by seasons: few enough samples that SQL can look at every run of pairs
+SEASONS = BRAY.replace(
+    "cells AS (", "seasons AS (SELECT * REPLACE (site || '_' || substr(survey, 5) AS sample) FROM obs),\ncells AS (", 1
+).replace("FROM obs GROUP BY ALL),\ntot", "FROM seasons GROUP BY ALL),\ntot", 1)
+
+
+def seasons(t):
+    return observations(t).withColumn("sample", F.concat_ws("_", "site", F.substring("survey", 5, 2)))
+
+
+def season_pairs(t):
+    pairs = D.bray_curtis(seasons(t), "sample", "taxon", "density")
+    return stage(pairs.withColumn("distance", F.round("distance", 9)))
+
+
+def season_ordination(t):
+    pairs = season_pairs(t)
+    return pairs, N.nmds(pairs, k=3, starts=6, at_once=6, max_iter=300, tolerance=1e-3)
+
+
 @query("nmds_scores")
 def _(t):
-    result = N.nmds(bray(t), k=2, starts=2, max_iter=6, check_every=3)
-    return N.site_scores(result, ["site", "survey"])
+    _, result = season_ordination(t)
+    lowest = result.stress.agg(F.min("stress")).scalar()
+    scores = N.site_scores(result, ["site", "season"]).withColumn("stress", lowest)
+    return scores.withColumn("converged", F.lit(result.converged))
 
 
-CONFIG = "config AS (SELECT sample, avg(volume) / 1000 AS axis1, sum(density) / 100 AS axis2 FROM obs GROUP BY sample)"
+@query(
+    "nmds_facts",
+    f"""WITH {SEASONS} SELECT count(DISTINCT sample) AS samples, 0.0 AS centre, 1.0 AS mean_square, true AS ended,
+      true AS same_stress, true AS lowest, true AS ordered FROM cells""",
+)
+def _(t):
+    """What must hold of any finished ordination: its scores are centred and of
+    unit mean square, every start ended by itself, the stress told is that of
+    the scores and the lowest of all starts, and the axes are ordered by spread."""
+    pairs, result = season_ordination(t)
+    axes = ["axis1", "axis2", "axis3"]
+    facts = result.scores.agg(
+        F.count(F.lit(1)).alias("samples"),
+        F.round(F.greatest(*[F.abs(F.avg(a)) for a in axes]), 6).alias("centre"),
+        F.round(sum((F.avg(F.col(a) * F.col(a)) for a in axes), F.lit(0.0)) / 3, 6).alias("mean_square"),
+        ((F.var_pop("axis1") >= F.var_pop("axis2")) & (F.var_pop("axis2") >= F.var_pop("axis3"))).alias("ordered"),
+    )
+    told = result.stress.agg(F.bool_and("ended").alias("ended"), F.min("stress").alias("least"))
+    again = N.stress(pairs, result.scores, axes)
+    first = min(v for step, _, v in result.history if step == 0)
+    return facts.crossJoin(told).crossJoin(again).select(
+        "samples", "centre", "mean_square", "ended", (F.abs(F.col("stress") - F.col("least")) < 1e-9).alias("same_stress"),
+        (F.col("least") < F.lit(first)).alias("lowest"), "ordered",
+    )
 
 
-def configuration(t):
-    return observations(t).groupBy("sample").agg(
-        (F.avg("volume") / 1000).alias("axis1"), (F.sum("density") / 100).alias("axis2")
-    )
+def _config(source: str) -> str:
+    return f"config AS (SELECT sample, avg(volume) / 1000 AS axis1, sum(density) / 100 AS axis2 FROM {source} GROUP BY sample)"
+
+
+CONFIG = _config("obs")
+
+
+def configuration(observed):
+    return observed.groupBy("sample").agg((F.avg("volume") / 1000).alias("axis1"), (F.sum("density") / 100).alias("axis2"))
 
 
-TIERS = f"""{BRAY}, {CONFIG},
-apart AS (SELECT s1, s2, d, sqrt(pow(a.axis1 - b.axis1, 2) + pow(a.axis2 - b.axis2, 2)) AS e,
-  CAST(ceil((rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2.0) * 24 / count(*) OVER ()) AS INT) AS tier
+# the curve by its definition: the largest, over beginnings, of the smallest mean up to an end
+CURVE = f"""{SEASONS}, {_config("seasons")},
+apart AS (SELECT s1, s2, round(d, 9) AS d, sqrt(pow(a.axis1 - b.axis1, 2) + pow(a.axis2 - b.axis2, 2)) AS e
   FROM pairs JOIN config a ON a.sample = s1 JOIN config b ON b.sample = s2),
-t AS (SELECT tier, sum(e) AS e, sum(e * e) AS ee, count(*) AS n FROM apart GROUP BY tier),
-spans AS (SELECT a.tier AS lo, b.tier AS hi, sum(t.e) / sum(t.n) AS m FROM t a JOIN t b ON a.tier <= b.tier
-  JOIN t ON t.tier BETWEEN a.tier AND b.tier GROUP BY ALL),
-least AS (SELECT x.tier, lo, min(m) AS m FROM t x JOIN spans ON lo <= x.tier AND hi >= x.tier GROUP BY ALL),
-fit AS (SELECT tier, max(m) AS fitted FROM least GROUP BY tier)"""
+placed AS (SELECT *, row_number() OVER o AS x, sum(e) OVER (o ROWS UNBOUNDED PRECEDING) AS upto FROM apart WINDOW o AS (ORDER BY d, e, s1, s2)),
+runs AS (SELECT a.x AS lo, b.x AS hi, (b.upto - a.upto + a.e) / (b.x - a.x + 1) AS m FROM placed a JOIN placed b ON a.x <= b.x),
+ends AS (SELECT lo, hi, min(m) OVER (PARTITION BY lo ORDER BY hi DESC ROWS UNBOUNDED PRECEDING) AS m FROM runs),
+fit AS (SELECT hi AS x, max(m) AS fitted FROM ends GROUP BY hi)"""
 
 
 @query(
     "stress_of_configuration",
-    f"""WITH {TIERS} SELECT round(sqrt(sum(ee - 2 * fitted * e + n * fitted * fitted) / sum(ee)), 6) AS stress
-    FROM t JOIN fit USING (tier)""",
+    f"WITH {CURVE} SELECT round(sqrt(sum(pow(e - fitted, 2)) / sum(e * e)), 6) AS stress FROM placed JOIN fit USING (x)",
 )
 def _(t):
-    out = N.stress(bray(t), configuration(t), ["axis1", "axis2"], tiers=24)
+    out = N.stress(season_pairs(t), configuration(seasons(t)), ["axis1", "axis2"])
     return out.select(F.round("stress", 6).alias("stress"))
 
 
 @query(
     "shepard_table",
-    f"""WITH {TIERS} SELECT s1 AS sample_1, s2 AS sample_2, round(d, 9) AS dissimilarity, round(e, 6) AS distance,
-      round(fitted, 6) AS fitted FROM apart JOIN fit USING (tier)""",
+    f"""WITH {CURVE} SELECT s1 AS sample_1, s2 AS sample_2, d AS dissimilarity, round(e, 6) AS distance,
+      round(fitted, 6) AS fitted FROM placed JOIN fit USING (x)""",
 )
 def _(t):
-    out = N.shepard(bray(t), configuration(t), ["axis1", "axis2"], tiers=24)
+    out = N.shepard(season_pairs(t), configuration(seasons(t)), ["axis1", "axis2"])
     return out.select(
         "sample_1",
         "sample_2",
-        F.round("dissimilarity", 9).alias("dissimilarity"),
+        "dissimilarity",
         F.round("distance", 6).alias("distance"),
         F.round("fitted", 6).alias("fitted"),
     )
@@ -179,7 +227,7 @@ def _(t):
       round(sum(v * axis2) / sum(v), 6) AS axis2 FROM cells JOIN config USING (sample) GROUP BY taxon""",
 )
 def _(t):
-    out = D.species_scores(configuration(t), *cells(t), ["axis1", "axis2"])
+    out = D.species_scores(configuration(observations(t)), *cells(t), ["axis1", "axis2"])
     return out.select("taxon", F.round("axis1", 6).alias("axis1"), F.round("axis2", 6).alias("axis2"))
 
 

@@ -20,9 +20,8 @@ from seston.operators.joins import natural_join
 from seston.operators.summary import sum_by
 
 
-def _cuts_below(value: str, levels: int) -> Column:
-    """How many of the sorted ``__cuts`` are smaller, by halving."""
-    x, cuts = F.col(value).cast("double"), F.col("__cuts")
+def cuts_below(x: Column, cuts: Column, levels: int) -> Column:
+    """How many of the sorted array ``cuts``, of less than 2^levels, are smaller than ``x``, by halving."""
     steps = F.array(*[F.lit(2**k) for k in reversed(range(levels))])
     return F.aggregate(
         steps,
@@ -60,7 +59,7 @@ def value_positions(
     else:
         both = whole.select(F.struct("__cuts", "total").alias("w")).scalar()
         cut = counts.withColumn("__w", both).select("*", "__w.*").drop("__w")
-    cut = cut.withColumn("__range", _cuts_below(value, levels)).drop("__cuts")
+    cut = cut.withColumn("__range", cuts_below(F.col(value).cast("double"), F.col("__cuts"), levels)).drop("__cuts")
 
     sizes = cut.groupBy(*by, "__range").agg(F.sum("n").alias("__size"))
     earlier = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("__range")

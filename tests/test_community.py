@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seston.operators import correlation as C
 from seston.operators import distance as D
+from seston.operators import monotone as M
 from seston.operators import ordination as N
 from seston.operators import permutation as P
 
@@ -214,13 +215,61 @@ def test_repeated_measures(spark, effect, small):
         P.permanova_series(pairs, samples, "sample", "time", 9, block_by="block")
 
 
-def test_monotone_curve():
-    import pandas as pd
+def monotone(values):
+    """The curve by its definition: the largest, over beginnings, of the smallest mean up to an end."""
+    n = len(values)
+    return [max(min(sum(values[a : b + 1]) / (b - a + 1) for b in range(x, n)) for a in range(x + 1)) for x in range(n)]
 
-    tiers = pd.DataFrame({"start": 1, "tier": [1, 2, 3, 4], "total": [1.0, 3.0, 2.0, 8.0], "n": [1.0, 1.0, 1.0, 2.0], "squares": [1.0, 9.0, 4.0, 32.0]})
-    out = N._monotone(tiers)
-    assert list(out["fitted"]) == [1.0, 2.5, 2.5, 4.0]
-    assert out["loss"].sum() == pytest.approx(0.5)
+
+@pytest.mark.parametrize("values", [[1.0, 3.0, 2.0, 4.0, 4.0], [3.0, 2.0, 1.0], [1.0, 2.0, 3.0, -9.0], [5.0], [2.0, 2.0]])
+def test_monotone_curve(values):
+    sums, weights, first = M.pooled(np.array(values), np.ones(len(values)))
+    assert np.repeat(sums / weights, np.diff(np.r_[first, len(values)])) == pytest.approx(monotone(values))
+
+
+def test_monotone_curve_of_long_slopes():
+    values = np.r_[np.arange(500.0), -1e6, np.arange(50.0)]
+    sums, weights, first = M.pooled(values, np.ones(len(values)))
+    assert len(sums) == 51 and weights[0] == 501 and first[1] == 501
+
+
+def scattered(spark, rng, n=16):
+    at = {f"p{i:02d}": (rng.random(), rng.random()) for i in range(n)}
+    pairs = [(a, b, round(math.dist(at[a], at[b]) + rng.choice([0.0, 0.3]) * rng.random(), 1)) for a, b in itertools.combinations(sorted(at), 2)]
+    return at, pairs, spark.createDataFrame(pairs, "sample_1 string, sample_2 string, distance double")
+
+
+@pytest.mark.parametrize("chunk", [None, 12, 1])
+def test_shepard_on_single_pairs(spark, chunk):
+    """Chunks of a few pairs give the same curve as one; ties follow their distance."""
+    at, pairs, df = scattered(spark, random.Random(4))
+    scores = spark.createDataFrame([(s, *xy) for s, xy in at.items()], "sample string, axis1 double, axis2 double")
+    order = sorted((d, math.dist(at[a], at[b]), a, b) for a, b, d in pairs)
+    curve = monotone([e for _, e, _, _ in order])
+    want = {(a, b): (d, e, f) for (d, e, a, b), f in zip(order, curve, strict=True)}
+    got = N.shepard(df, scores, ["axis1", "axis2"], chunk).collect()
+    assert {(r["sample_1"], r["sample_2"]): pytest.approx((r["dissimilarity"], r["distance"], r["fitted"])) for r in got} == want
+    total = math.sqrt(sum((e - f) ** 2 for _, e, f in want.values()) / sum(e * e for _, e, _ in want.values()))
+    assert N.stress(df, scores, ["axis1", "axis2"], chunk).first()[0] == pytest.approx(total)
+
+
+def test_incomplete_pairs_are_refused(spark):
+    _, pairs, df = scattered(spark, random.Random(4))
+    for bad in (df.where("sample_1 <> 'p00' OR sample_2 <> 'p01'"), df.withColumn("distance", F.expr("nullif(distance, 0.5)"))):
+        with pytest.raises(ValueError, match="every pair"):
+            N.nmds(bad)
+
+
+def test_procrustes(spark):
+    rng = np.random.default_rng(3)
+    one = rng.normal(size=(30, 2))
+    turn = np.array([[0.6, 0.8], [0.8, -0.6]])
+    two = 3.0 * one @ turn + 5.0
+    assert N.apart(one, two) == pytest.approx((0.0, 0.0), abs=1e-9)
+    two[7] += 1.0
+    frame_of = lambda x: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "sample int, axis1 double, axis2 double")
+    row = N.procrustes(frame_of(one), frame_of(two), ["axis1", "axis2"]).first()
+    assert (row["rmse"], row["largest"]) == pytest.approx(N.apart(one, two)) and row["largest"] > 0.01
 
 
 def test_ordination_recovers_a_planted_layout(spark):
@@ -230,23 +279,20 @@ def test_ordination_recovers_a_planted_layout(spark):
         [(a, b, math.dist(at[a], at[b]) ** 1.5) for a, b in itertools.combinations(sorted(at), 2)],
         "sample_1 string, sample_2 string, distance double",
     )
-    result = N.nmds(pairs, k=2, starts=8, max_iter=30, check_every=10)
-    best = {}
-    for step, start, value in result.history:
-        assert value <= best.get(start, 9) + 1e-9
-        best[start] = value
-    assert result.stress.agg(F.min("stress")).first()[0] < 0.06
+    result = N.nmds(pairs, k=2, at_once=4, tolerance=1e-3)
+    table = {r["start"]: r for r in result.stress.collect()}
+    lowest = min(r["stress"] for r in table.values())
+    assert result.converged and result.agreed and lowest < 0.03
+    assert all(r["ended"] and r["stress"] == pytest.approx(min(v for _, s, v in result.history if s == i)) for i, r in table.items())
     got = {r["sample"]: (r["axis1"], r["axis2"]) for r in result.scores.collect()}
     keys = list(itertools.combinations(sorted(at), 2))
     placed = [math.dist(got[a], got[b]) for a, b in keys]
     true = [math.dist(at[a], at[b]) for a, b in keys]
-    assert np.corrcoef(placed, true)[0, 1] > 0.97
-    again = N.stress(pairs, result.scores, ["axis1", "axis2"]).first()[0]
-    assert again == pytest.approx(result.stress.agg(F.min("stress")).first()[0], rel=1e-6)
-    table = N.shepard(pairs, result.scores, ["axis1", "axis2"]).orderBy("dissimilarity").collect()
-    assert len(table) == len(keys)
-    assert all(x["fitted"] <= y["fitted"] + 1e-12 for x, y in zip(table, table[1:]))
+    assert np.corrcoef(placed, true)[0, 1] > 0.98
+    assert N.stress(pairs, result.scores, ["axis1", "axis2"]).first()[0] == pytest.approx(lowest, rel=1e-6)
     assert N.site_scores(result, ["a"], "x").columns == ["sample", "axis1", "axis2", "a"]
+    short = N.nmds(pairs, k=2, starts=1, max_iter=2)
+    assert not short.converged and not short.stress.first()["ended"]
 
 
 def test_species_scores(spark, rows):
