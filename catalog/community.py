@@ -278,13 +278,13 @@ def rounded_table(table):
 
 @query("permanova", f"WITH {BRAY}, {GROUPS}, {FREE}, {SQUARES}, {TABLE}")
 def _(t):
-    return rounded_table(P.permanova(bray(t), stage(groups(t)), "sample", "stratum", PERMS))
+    return rounded_table(P.permanova_of(*cells(t), stage(groups(t)), "stratum", PERMS))
 
 
 @query("repeated_measures_permanova", f"WITH {BRAY}, {GROUPS}, {SERIES}, {SQUARES}, {TABLE}")
 def _(t):
     return rounded_table(
-        P.permanova(bray(t), stage(groups(t)), "sample", "season", SHIFTS, block_by="site", order="survey")
+        P.permanova_of(*cells(t), stage(groups(t)), "season", SHIFTS, block_by="site", order="survey")
     )
 
 
@@ -294,8 +294,9 @@ def _(t):
     SELECT term, df, r2, f, p FROM result""",
 )
 def _(t):
-    pairs = D.euclidean(*cells(t))
-    test = P.permanova(pairs, stage(groups(t)), "sample", "season", SHIFTS, block_by="site", order="survey")
+    test = P.permanova_of(
+        *cells(t), stage(groups(t)), "season", SHIFTS, block_by="site", order="survey", measure="euclidean"
+    )
     # sums of squares of raw densities are too large for a fixed number of decimals
     return rounded_table(test).select("term", "df", "r2", "f", "p")
 

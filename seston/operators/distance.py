@@ -118,6 +118,17 @@ def _by_sample(by_taxon: dict) -> dict:
     return out
 
 
+#: what a task can compute of two blocks
+MEASURES = {"bray_curtis": _bray_curtis, "euclidean": _euclidean}
+
+
+def of_blocks(cells: pd.DataFrame, low: int, high: int, measure: Callable) -> tuple[np.ndarray, ...]:
+    """Samples of two blocks, their distances, and which of them share a taxon."""
+    ids_a, a = _rows(cells[cells["block"] == low].reset_index(drop=True))
+    ids_b, b = (ids_a, a) if low == high else _rows(cells[cells["block"] == high].reset_index(drop=True))
+    return ids_a, ids_b, *measure(a, b, len(ids_a), len(ids_b))
+
+
 def _pair_table(
     df: DataFrame,
     sample: str,
@@ -138,11 +149,7 @@ def _pair_table(
 
     def measured(cells: pd.DataFrame) -> pd.DataFrame:
         low, high = cells["low_block"].iat[0], cells["high_block"].iat[0]
-        left = cells[cells["block"] == low].reset_index(drop=True)
-        right = cells[cells["block"] == high].reset_index(drop=True)
-        ids_a, a = _rows(left)
-        ids_b, b = (ids_a, a) if low == high else _rows(right)
-        d, sharing = measure(a, b, len(ids_a), len(ids_b))
+        ids_a, ids_b, d, sharing = of_blocks(cells, low, high, measure)
         keep = sharing if only_sharing else np.ones(d.shape, dtype=bool)
         if low == high:
             keep = np.triu(keep, 1)

@@ -4,6 +4,11 @@ Every permutation is a column of labels per sample. Pairs and labels meet per
 pair of blocks of samples, where one pass over the pairs serves all
 permutations, so pairs are never multiplied by permutations. Permutations
 follow from md5 sums and are the same on every run and every engine.
+
+``permanova_of`` starts from the community itself: the task that has two blocks
+of samples computes their distances and adds them to the sums of all
+permutations at once, so there is no table of pairs to write or to shuffle. The
+others take any table of distances.
 """
 
 from __future__ import annotations
@@ -19,9 +24,12 @@ from pyspark.sql.window import Window as W
 from seston.durable import stage
 from seston.operators.distance import (
     BLOCK,
+    MEASURES,
     block_count,
     block_of,
+    community,
     gather_block_pairs,
+    of_blocks,
     to_block_pairs,
 )
 from seston.operators.joins import natural_join
@@ -166,6 +174,57 @@ def within_totals(
     return parts.groupBy("perm").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
 
 
+def within_totals_of(
+    df: DataFrame, sample: str, taxon: str, value: str, packed: DataFrame, measure: str = "bray_curtis", block: int = BLOCK
+) -> DataFrame:
+    """``within_totals`` of squared distances, which only exist in the tasks.
+
+    Of two blocks of samples a task holds the cells, one number per pair and the
+    labels of all permutations; what leaves it is one row per permutation.
+    """
+    cells = community(df, sample, taxon, value).select(
+        F.col(sample).alias("sample"), F.col(taxon).alias("taxon"), F.col(value).alias("value")
+    )
+    n = packed.count()
+    blocks = block_count(n, packed.sparkSession.sparkContext.defaultParallelism, block)
+    placed = lambda t: to_block_pairs(t.withColumn("block", block_of("sample", blocks)), blocks)
+    distances = MEASURES[measure]
+
+    def summed(cells: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"perm": [], "total": [], "pairs": []})
+        if cells.empty or labels.empty:
+            return empty
+        cells = cells[cells["sample"].isin(labels["sample"])]
+        low, high = int(labels["low_block"].iat[0]), int(labels["high_block"].iat[0])
+        ids_a, ids_b, d, _ = of_blocks(cells, low, high, distances)
+        if not d.size:
+            return empty
+        if np.isnan(d).any():
+            raise ValueError("a distance is missing: two samples are empty")
+        square = np.triu(d * d, 1) if low == high else d * d
+        listed = len(ids_a) * (len(ids_a) - 1) / 2 if low == high else d.size
+        at = labels.set_index("sample")
+        codes = [np.array(at.loc[ids, "codes"].tolist()) for ids in (ids_a, ids_b)]
+        weights = 1.0 / np.array(at.loc[ids_a, "sizes"].tolist())
+        upper = np.triu(np.ones(d.shape, bool), 1) if low == high else np.ones(d.shape, bool)
+        total, number = np.zeros(codes[0].shape[1]), np.zeros(codes[0].shape[1])
+        for p in range(len(total)):
+            share = (codes[0][:, p][:, None] == codes[1][:, p]) & upper
+            total[p] = weights[:, p] @ np.where(share, square, 0.0).sum(1)
+            number[p] = weights[:, p] @ share.sum(1)
+        return pd.DataFrame({
+            "perm": np.arange(-1, len(total)), "total": np.r_[square.sum(), total], "pairs": np.r_[listed, number],
+        })
+
+    parts = (
+        gather_block_pairs(placed(cells), blocks)
+        .groupBy("low_block", "high_block")
+        .cogroup(gather_block_pairs(placed(packed), blocks).groupBy("low_block", "high_block"))
+        .applyInPandas(summed, "perm int, total double, pairs double")
+    )
+    return parts.groupBy("perm").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
+
+
 def _design(sizes: DataFrame) -> DataFrame:
     """One row: samples, groups, pairs inside groups plain and by group size."""
     m = F.col("size").cast("double")
@@ -236,8 +295,11 @@ def permanova_series(
     """
     packed = _labels(groups, sample, group, perms, block_by, order, True)
     squares = pairs.withColumn("square", _known("distance") * F.col("distance"))
-    sums = stage(within_totals(squares, packed, "square", block))
-    x = _with_whole(sums, _design(_sizes(groups, group)))
+    return _variance_series(within_totals(squares, packed, "square", block), groups, group, absent)
+
+
+def _variance_series(totals: DataFrame, groups: DataFrame, group: str, absent: float | None) -> DataFrame:
+    x = _with_whole(stage(totals), _design(_sizes(groups, group)))
     gone = F.lit(0.0 if absent is None else float(absent) ** 2)
     n, g = F.col("n"), F.col("g")
     listed = F.col("all_pairs") if absent is not None else _complete(F.col("all_pairs"), n)
@@ -282,7 +344,49 @@ def permanova(
     With ``block_by`` and ``order`` the labels only move along the series of
     each block (repeated measures).
     """
-    series = permanova_series(pairs, groups, sample, group, perms, block_by, order, absent, block)
+    return _variance_table(permanova_series(pairs, groups, sample, group, perms, block_by, order, absent, block))
+
+
+def permanova_series_of(
+    df: DataFrame,
+    sample: str,
+    taxon: str,
+    value: str,
+    groups: DataFrame,
+    group: str,
+    perms: int = 999,
+    block_by: str | None = None,
+    order: str | None = None,
+    measure: str = "bray_curtis",
+    block: int = BLOCK,
+) -> DataFrame:
+    """``permanova_series`` of the community ``df`` by a measure of ``MEASURES``.
+    Samples without a label take no part; a labelled sample without cells raises
+    an error, as an empty pair does."""
+    packed = _labels(groups, sample, group, perms, block_by, order, True)
+    return _variance_series(within_totals_of(df, sample, taxon, value, packed, measure, block), groups, group, None)
+
+
+def permanova_of(
+    df: DataFrame,
+    sample: str,
+    taxon: str,
+    value: str,
+    groups: DataFrame,
+    group: str,
+    perms: int = 999,
+    block_by: str | None = None,
+    order: str | None = None,
+    measure: str = "bray_curtis",
+    block: int = BLOCK,
+) -> DataFrame:
+    """``permanova`` of the community ``df``, without a table of pairs."""
+    return _variance_table(
+        permanova_series_of(df, sample, taxon, value, groups, group, perms, block_by, order, measure, block)
+    )
+
+
+def _variance_table(series: DataFrame) -> DataFrame:
     one = series.agg(
         F.max(F.when(F.col("perm") == 0, F.struct("*"))).alias("o"),
         F.max(F.when(F.col("perm") == 0, F.col("r2"))).alias("__o"),
@@ -379,8 +483,11 @@ __all__: Sequence[str] = (
     "anosim_series",
     "free_labels",
     "permanova",
+    "permanova_of",
     "permanova_series",
+    "permanova_series_of",
     "series_labels",
     "series_pvalue",
     "within_totals",
+    "within_totals_of",
 )

@@ -367,3 +367,26 @@ def test_missing_pairs_are_refused(spark):
 def test_perfect_correlation_has_p_zero(spark):
     df = spark.createDataFrame([(1.0, 2.0, -1.0), (2.0, 4.0, -2.0), (3.0, 6.0, -3.0)], "a double, b double, c double")
     assert [r["p"] for r in C.corr_pvalues(df, ["a", "b", "c"]).collect()] == [0.0] * 3
+
+
+@pytest.mark.parametrize(("measure", "block"), [("bray_curtis", 512), ("euclidean", 512), ("bray_curtis", 4)])
+def test_permanova_without_a_pair_table(spark, rows, measure, block):
+    rng = random.Random(7)
+    cells = [(f"s{i}", f"t{j}", float(rng.randint(1, 9))) for i in range(15) for j in range(6) if j == i % 3 or rng.random() < 0.6]
+    df = frame(spark, cells)
+    groups = spark.createDataFrame([(f"s{i}", "abc"[i % 3] if i < 13 else None) for i in range(15)], "sample string, g string")
+    known = df.where("sample NOT IN ('s13', 's14')")
+    pairs = {"bray_curtis": D.bray_curtis, "euclidean": D.euclidean}[measure](known, "sample", "taxon", "v")
+    want = P.permanova(pairs, groups, "sample", "g", 49)
+    got = P.permanova_of(df, "sample", "taxon", "v", groups, "g", 49, measure=measure, block=block)
+    for a, b in zip(rows(want), rows(got), strict=True):
+        assert a == pytest.approx(b)
+    series = P.permanova_series_of(df, "sample", "taxon", "v", groups, "g", 9, measure=measure, block=block)
+    assert "sample_1" not in series._jdf.queryExecution().executedPlan().toString()
+
+
+def test_labelled_sample_without_cells_is_refused(spark):
+    df = frame(spark, [("a", "x", 1.0), ("b", "x", 3.0), ("c", "x", 3.0)])
+    groups = spark.createDataFrame([("a", "g"), ("b", "g"), ("c", "h"), ("d", "h")], "sample string, g string")
+    with pytest.raises(Exception, match="missing"):
+        P.permanova_of(df, "sample", "taxon", "v", groups, "g", 9).collect()
