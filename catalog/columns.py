@@ -13,7 +13,7 @@ from seston.functions.text import matches
 from seston.operators import columns as C
 from seston.operators import filters as R
 from seston.operators import ordering as O
-from seston.sources.csv_files import read_csv_dir, write_by, write_csv
+from seston.sources.csv_files import read_csv_dir, read_table, write_by, write_csv
 
 
 @query("scan_table", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
@@ -42,6 +42,39 @@ def _(t):
     return read_csv_dir(t.spark, f"{folder}/*/*.csv", schema)
 
 
+# an order's note: two lines, with quotes and a comma
+NOTE = "o_orderpriority || chr(10) || '\"' || o_orderstatus || '\", ' || o_orderkey"
+
+
+@query(
+    "single_csv_inferred",
+    f"""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS price, CAST(o_orderdate AS DATE) AS day,
+      o_orderstatus = 'O' AS open, '0' || o_custkey AS code, {NOTE} AS note FROM orders""",
+)
+def _(t):
+    """A table of orders through a CSV file and back, its types found from the text."""
+    folder = scratch(t, "orders")
+    write_csv(
+        t.orders.select(
+            "o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).alias("price"),
+            F.to_date("o_orderdate").alias("day"), (F.col("o_orderstatus") == "O").alias("open"),
+            F.concat(F.lit("0"), F.col("o_custkey").cast("string")).alias("code"), F.expr(NOTE).alias("note"),
+        ),
+        folder,
+    )
+    return read_table(t.spark, folder, infer=True, multiline=True)
+
+
+@query("csv_folder_line_breaks", f"SELECT o_orderkey, {NOTE} AS note, o_custkey FROM orders")
+def _(t):
+    folder = scratch(t, "notes")
+    noted = t.orders.withColumn("note", F.expr(NOTE))
+    even = F.col("o_orderkey") % 2 == 0
+    write_csv(noted.where(even).select("o_orderkey", "note", "o_custkey"), f"{folder}/even")
+    write_csv(noted.where(~even).select("note", "o_custkey", "o_orderkey"), f"{folder}/odd")
+    return read_csv_dir(t.spark, f"{folder}/*/*.csv", "o_orderkey long, note string, o_custkey long", multiline=True)
+
+
 @query("source_labels", "SELECT s_suppkey, s_name, CAST(s_nationkey % 2 AS VARCHAR) AS half FROM supplier")
 def _(t):
     folder = scratch(t, "halves")

@@ -6,8 +6,6 @@ import math
 from collections.abc import Sequence
 from itertools import combinations, combinations_with_replacement
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,49 +44,54 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], use: str = "complete") -> Da
     return _pair_stats(rows, list(combinations_with_replacement(cols, 2)))
 
 
-def _beta_fraction(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    c = np.ones_like(x)
-    d = 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-    h = d.copy()
-    for m in range(1, 300):
+# fixed values: Lanczos approximation of the gamma function, g = 7
+LANCZOS = [
+    0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
+    12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7,
+]
+FRACTION_TERMS = 300
+
+
+def log_gamma(z: Column) -> Column:
+    """Logarithm of the gamma function of z >= 1/2."""
+    x = z - 1
+    series = sum((F.lit(c) / (x + i) for i, c in enumerate(LANCZOS) if i), F.lit(LANCZOS[0]))
+    t = x + 7.5
+    return F.lit(0.5 * math.log(2 * math.pi)) + (x + 0.5) * F.log(t) - t + F.log(series)
+
+
+def _beta_fraction(x: Column, a: Column, b: Column) -> Column:
+    """Continued fraction of the incomplete beta function (modified Lentz),
+    folded over the numbers of its terms."""
+    safe = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+    state = lambda c, d, h: F.struct(c.alias("c"), d.alias("d"), h.alias("h"))
+    start = 1 / safe(1 - (a + b) * x / (a + 1))
+
+    def term(s: Column, by: Column) -> Column:
+        d, c = 1 / safe(1 + by * s["d"]), safe(1 + by / s["c"])
+        return state(c, d, s["h"] * d * c)
+
+    def both(s: Column, m: Column) -> Column:
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        for term in (even, odd):
-            d = 1.0 + term * d
-            d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-            c = 1.0 + term / c
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            h = h * d * c
-    return h
-
-
-def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """Two-sided p-value of Student's t."""
-    t, df = np.asarray(t, float), np.asarray(df, float)
-    a, b = df / 2.0, np.full_like(df, 0.5)
-    x = df / (df + t * t)
-    gamma = np.vectorize(math.lgamma, otypes=[float])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(gamma(a + b) - gamma(a) - gamma(b) + a * np.log(x) + b * np.log1p(-x))
-        near = front * _beta_fraction(x, a, b) / a
-        far = 1.0 - front * _beta_fraction(1.0 - x, b, a) / b
-    p = np.where(x < (a + 1.0) / (a + b + 2.0), near, far)
-    return np.where(t == 0, 1.0, np.where(x <= 0, 0.0, np.clip(p, 0.0, 1.0)))
+        # a list of one or two terms is folded too, so that the first is computed once
+        return F.aggregate(F.array(even, odd), s, term)
 
+    steps = F.transform(F.sequence(F.lit(1), F.lit(FRACTION_TERMS - 1)), lambda m: m.cast("double"))
+    return F.aggregate(steps, state(F.lit(1.0), start, start), both, lambda s: s["h"])
 
-def _p_of_t(t: Column, df: Column) -> Column:
-    @F.pandas_udf("double")
-    def p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-        ok = t.notna() & (df > 0)
-        p = pd.Series(np.nan, index=t.index)
-        if ok.any():
-            p[ok] = t_two_sided(t[ok].to_numpy(), df[ok].to_numpy())
-        return p
 
-    return p_value(t, df)
+def t_two_sided(t: Column, df: Column) -> Column:
+    """Two-sided p-value of Student's t, NULL without degrees of freedom."""
+    df = df.cast("double")
+    a, b = df / 2, F.lit(0.5)
+    x = df / (df + t * t)
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - F.lit(math.lgamma(0.5)) + a * F.log(x) + b * F.log1p(-x))
+    near = front * _beta_fraction(x, a, b) / a
+    far = 1 - front * _beta_fraction(1 - x, b, a) / b
+    p = F.when(x < (a + 1) / (a + b + 2), near).otherwise(far)
+    inside = F.when(t == 0, 1.0).when(x <= 0, 0.0).otherwise(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
+    return F.when((df > 0) & t.isNotNull(), inside)
 
 
 def corr_tests(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -105,7 +108,7 @@ def corr_pvalues(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``corr_tests`` with two-sided p-values, 0 for a perfect correlation of
     more than two rows, whose t is infinite and left NULL."""
     perfect = (F.col("n") > 2) & (1 - F.col("r") * F.col("r") <= 0)
-    p = _p_of_t(F.col("t"), (F.col("n") - 2).cast("double"))
+    p = t_two_sided(F.col("t"), F.col("n") - 2)
     return corr_tests(df, cols).withColumn("p", F.when(perfect, F.lit(0.0)).otherwise(p))
 
 

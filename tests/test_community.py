@@ -317,8 +317,21 @@ def test_correlation_modes(spark):
 @pytest.mark.parametrize(
     "t, df, p", [(12.706, 1, 0.05), (2.228, 10, 0.05), (2.042, 30, 0.05), (3.169, 10, 0.01), (1.96, 1e6, 0.05), (0.0, 5, 1.0)]
 )
-def test_t_table(t, df, p):
-    assert C.t_two_sided(np.array([t]), np.array([float(df)]))[0] == pytest.approx(p, rel=2e-3)
+def test_t_table(spark, t, df, p):
+    row = spark.range(1).select(C.t_two_sided(F.lit(t), F.lit(float(df))).alias("p"), C.t_two_sided(F.lit(-t), F.lit(float(df))).alias("q")).first()
+    assert row["p"] == pytest.approx(p, rel=2e-3) and row["q"] == row["p"]
+
+
+def test_p_of_one_degree_of_freedom(spark):
+    """With one degree of freedom p = 1 - 2 atan(t) / pi."""
+    df = spark.createDataFrame([(x,) for x in (0.01, 0.5, 1.0, 30.0, 1e6)], "t double")
+    for r in df.select("t", C.t_two_sided(F.col("t"), F.lit(1)).alias("p"), C.t_two_sided(F.col("t"), F.lit(0)).alias("none")).collect():
+        assert r["p"] == pytest.approx(1 - 2 * math.atan(r["t"]) / math.pi, rel=1e-9, abs=1e-12) and r["none"] is None
+
+
+@pytest.mark.parametrize("z", [0.5, 1.0, 2.5, 10.0, 171.5, 5e5])
+def test_log_gamma(spark, z):
+    assert spark.range(1).select(C.log_gamma(F.lit(z))).first()[0] == pytest.approx(math.lgamma(z), rel=1e-12, abs=1e-12)
 
 
 def test_correlation_p_values(spark):

@@ -154,3 +154,44 @@ def test_rare_taxa_and_rollup(spark, rows):
     assert rows(N.rollup_taxon(df, dim, "t", "phylum", ["s"], ["v"])) == [("s1", "X", 6.0), ("s2", "X", 2.0)]
     kept = N.rollup_taxon(df, dim, "t", "phylum", ["s"], ["v"], drop_unknown=False)
     assert ("s1", None, 9.0) in rows(kept)
+
+
+def test_headers_are_found_in_tasks(spark, folder):
+    (folder / "d.csv").write_text("sample,date,count,subsample,extra\n")
+    (folder / "empty.csv").write_text("")
+    found = S.headers(spark, f"{folder}/*.csv")
+    assert {k: len(v) for k, v in found.items()} == {
+        ("sample", "date", "count", "subsamples"): 1, ("sample", "date", "count", "subsample", "extra"): 2,
+    }
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path, rows):
+    (tmp_path / "a.csv").write_text('name,x\n"one\ntwo",1\n"say ""hi""",2\n')
+    (tmp_path / "b.csv").write_text("x,name\n3,plain\n")
+    want = [("one\ntwo", 1), ("plain", 3), ('say "hi"', 2)]
+    assert rows(S.read_csv_dir(spark, f"{tmp_path}/*.csv", "name string, x long", multiline=True)) == want
+    assert rows(S.read_table(spark, f"{tmp_path}/a.csv", infer=True, multiline=True)) == [want[0], want[2]]
+    df = spark.createDataFrame([('a "quoted"\nname', 1), (None, 2)], "name string, x long")
+    S.write_csv(df, f"{tmp_path}/out")
+    assert rows(S.read_table(spark, f"{tmp_path}/out", infer=True, multiline=True)) == rows(df)
+
+
+def test_inferred_types(spark, tmp_path):
+    columns = {
+        "whole": (["1", "-20", "NA", " 3 "], "bigint"), "part": (["1", "2.5", "", "1e-3"], "double"),
+        "code": (["007", "012", "3", "4"], "string"), "flag": (["TRUE", "f", "NA", "true"], "boolean"),
+        "day": (["2017-08-30", "2018-02-28", "NA", ""], "date"), "no_day": (["2017-08-30", "2017-02-30", "", ""], "string"),
+        "time": (["2017-08-30 10:00", "2017-08-30T10:00:59.5", "", "NA"], "timestamp"),
+        "mixed": (["1", "2017-08-30", "", ""], "string"), "none": (["NA", "", "NA", ""], "string"),
+        "huge": (["12345678901234567890", "1", "", ""], "double"), "text": (["a", "1", "T", ""], "string"),
+    }
+    names = list(columns)
+    lines = [",".join(names)] + [",".join(columns[c][0][i] for c in names) for i in range(4)]
+    (tmp_path / "t.csv").write_text("\n".join(lines) + "\n")
+    df = S.read_table(spark, f"{tmp_path}/t.csv", infer=True)
+    assert dict(df.dtypes) == {c: kind for c, (_, kind) in columns.items()}
+    got = df.collect()
+    assert [r["whole"] for r in got] == [1, -20, None, 3] and [r["flag"] for r in got] == [True, False, None, True]
+    assert got[0]["code"] == "007" and str(got[1]["day"]) == "2018-02-28" and got[1]["time"].second == 59
+    (tmp_path / "no_rows.csv").write_text("a,b\n")
+    assert S.read_table(spark, f"{tmp_path}/no_rows.csv", infer=True).dtypes == [("a", "string"), ("b", "string")]
