@@ -245,8 +245,20 @@ class Join:
         met = Staged(places.join(shared, "key"))
         self._wide.drop()
         stars = met.df.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        first = Staged(self.verified(stars, small))
-        part = components(first.df)
+        alike = Staged(self.bounded(stars, small))
+        # one pair for each set that is not a first one; the others are compared
+        # only where that left their ends apart
+        lead = alike.df.groupBy("b").agg(F.min("a").alias("a"))
+        first = [Staged(self.verified(lead.select("a", "b"), small))]
+        part = Staged(components(first[0].df))
+        of = lambda c: part.df.select(F.col("id").alias(c), F.col("component").alias(f"_{c}"))
+        apart = F.coalesce("_a", "a") != F.coalesce("_b", "b")
+        others = alike.df.join(lead, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        first.append(Staged(self.verified(others.where(apart).select("a", "b"), small)))
+        alike.drop()
+        part.drop()
+        linked_pairs = first[0].df.unionByName(first[1].df)
+        part = components(linked_pairs)
         whole = Staged(
             met.df.where("members > 2").join(part, "id", "left").select(
                 "key", "id", "members", F.coalesce("component", "id").alias("c")
@@ -257,7 +269,7 @@ class Join:
         rest = whole.df.join(mixed_places, "key", "left_semi")
         second = Staged(self.verified(self.across(rest, small), small))
         whole.drop()
-        part = components(first.df.unionByName(second.df))
+        part = components(linked_pairs.unionByName(second.df))
         named = self.classes.df.join(part, "id", "left").withColumn("c", F.coalesce("component", "id"))
         least = named.groupBy("c").agg(F.min("least").alias("component_id"))
         answer = named.join(least, "c").select("n", "d1", "d2", "component_id")
@@ -281,17 +293,20 @@ class Join:
         pairs = a.join(b, condition & may_link("a", "b", self._percent))
         return pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
-    def verified(self, pairs: DataFrame, small: DataFrame) -> DataFrame:
-        """The pairs (a, b) of class ids that are linked."""
+    def bounded(self, pairs: DataFrame, small: DataFrame) -> DataFrame:
+        """The pairs (a, b) of class ids whose sizes and signatures allow a link."""
         lanes = [f"b{i}" for i in range(LANES)]
         narrow = small.select("id", "n", *lanes)
         x, y = narrow.alias("x"), narrow.alias("y")
-        bounded = (
+        return (
             pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
             .where(may_link("x", "y", self._percent))
             .select("a", "b")
         )
-        kept = Staged(bounded)
+
+    def verified(self, pairs: DataFrame, small: DataFrame) -> DataFrame:
+        """The pairs (a, b) of class ids that are linked; all passed the bounds."""
+        kept = Staged(pairs)
         wanted = kept.df.select(F.col("a").alias("id")).union(kept.df.select("b")).distinct()
         known = small.select("id", "doc_id", "mark", "n").join(wanted, "id", "left_semi")
         of = known.select("id", "n", F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"))
