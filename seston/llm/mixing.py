@@ -114,7 +114,8 @@ def plan(docs: DataFrame, doc_id: str, text: str, source: str, whole: bool = Fal
     )
     if whole:
         cut = cut.withColumn("left", F.when(2 * F.col("left") >= F.col("at_cut"), F.col("at_cut")).otherwise(0))
-    return sized, joined(table, cut, how="left")
+    # a small table of known size, so that documents are not dealt by source to meet it
+    return sized, Staged(joined(table, cut, how="left")).df
 
 
 def joined(left: DataFrame, right: DataFrame, also: str | None = None, how: str = "inner") -> DataFrame:
@@ -144,18 +145,29 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` themselves, each as often as the mix takes it whole.
 
-    Texts are not shuffled: whether a document is taken follows from its own key
-    and its source's row. Documents without words are kept once.
+    Whether a document is taken follows from its own key and its source's row,
+    a table of one row per source whose size is known when it is joined, so texts
+    are not shuffled while that table is small. Documents without words are kept
+    once. Columns of any name stay as they are.
     """
-    sized, table = plan(docs, doc_id, text, source, whole=True, **options)
-    table = table.select(F.col("source").alias("_source"), "epochs", "cut", "left", "at_cut")
-    rows = docs.withColumn("_size", words_in(F.col(text))).withColumn("_key", key(F.col(doc_id), quality(F.col(text))))
-    rows = rows.join(table, rows[source].eqNullSafe(table["_source"]))
-    more = F.col("_key") < F.col("cut")
-    edge = (F.col("_key") == F.col("cut")) & (F.col("left") > 0)
-    copies = F.when(F.col("_size") == 0, 1).otherwise(F.col("epochs") + F.coalesce((more | edge).cast("int"), F.lit(0)))
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).where(copies > 0)
-    return rows.select(*docs.columns)
+    _, table = plan(docs, doc_id, text, source, whole=True, **options)
+    mix = unused("_mix", docs)
+    told = F.struct("source", "epochs", "cut", "left")
+    rows = docs.join(table.select(told.alias(mix)), F.col(source).eqNullSafe(F.col(mix)["source"]))
+    size, its_key, of = words_in(F.col(text)), key(F.col(doc_id), quality(F.col(text))), F.col(mix)
+    more = its_key < of["cut"]
+    edge = (its_key == of["cut"]) & (of["left"] > 0)
+    copies = F.when(size == 0, 1).otherwise(of["epochs"] + F.coalesce((more | edge).cast("int"), F.lit(0)))
+    rows = rows.withColumn(mix, F.explode(F.array_repeat(F.lit(True), copies)))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 #: the same rows in SQL, with one plain window per source

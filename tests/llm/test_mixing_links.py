@@ -32,6 +32,20 @@ def test_targets_and_taken(spark):
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
+def test_rows_keep_columns_of_any_name(spark):
+    """Working names in the table; copies, ties at the edge and texts without words."""
+    rows = [(i % 30, words(5 + i % 3), "ab"[i % 5 == 0], 1, 2, "c", "l") for i in range(60)] + [(90, None, "a", 1, 2, "c", "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix int, epochs int, cut string, left string")
+    kept = mixing.mixed_rows(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    assert {(r._mix, r.epochs, r.cut, r.left) for r in got} == {(1, 2, "c", "l")} and sum(r.doc_id == 90 for r in got) == 1
+    size = sum(len((r.text or "").split()) for r in got)
+    assert abs(size - sum(r.taken for r in mixing.mix(docs).collect())) <= 2 * 7 * 2 * 2 and len(taken) == 31
+    assert mixing.mixed_rows(docs.limit(0)).collect() == []
+
+
 RULES = [("allow", "com/"), ("block", "bad.com/x/")]
 
 
