@@ -33,7 +33,7 @@ from seston.llm.common import kept_for, over_texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-CACHE = 260_000
+CACHE = 500_000
 AT_ONCE = 400_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
