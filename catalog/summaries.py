@@ -38,6 +38,24 @@ def _(t):
     return out.select("k", "s", F.round("q", 4).alias("q"), F.round("x", 4).alias("x"))
 
 
+@query(
+    "exact_sums",
+    """SELECT l_suppkey, CAST(sum(l_orderkey * 10000000000 + l_partkey) AS VARCHAR) AS whole,
+      CAST(sum(CAST(l_extendedprice AS DECIMAL(20, 4)) * 100000000000) AS VARCHAR) AS price,
+      CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS rounded FROM lineitem GROUP BY l_suppkey""",
+)
+def _(t):
+    """Sums beyond the whole numbers that a double can hold, and one of doubles that no order of rows changes."""
+    rows = t.lineitem.select(
+        "l_suppkey",
+        (F.col("l_orderkey") * F.lit(10_000_000_000) + F.col("l_partkey")).alias("whole"),
+        (F.col("l_extendedprice").cast("decimal(20,4)") * F.lit(100_000_000_000).cast("decimal(12,0)")).alias("price"),
+        F.col("l_extendedprice").alias("rounded"),
+    )
+    out = S.sum_by(rows, ["l_suppkey"], ["whole", "price", "rounded"], decimals=2)
+    return out.select("l_suppkey", F.col("whole").cast("string"), F.col("price").cast("string"), "rounded")
+
+
 @query(
     "sum_by_complete_keys",
     f"WITH {KEYED} SELECT k, round(coalesce(sum(q), 0), 4) AS q FROM keyed WHERE k IS NOT NULL GROUP BY k",

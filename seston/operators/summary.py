@@ -9,6 +9,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seston.functions.numbers import power_of_ten_steps, ratio
 from seston.operators.joins import natural_join
@@ -29,7 +30,7 @@ def total(c: str | Column, na: str = "skip") -> Column:
     _check_na(na)
     c = F.col(c) if isinstance(c, str) else c
     if na == "skip":
-        return F.coalesce(F.sum(c), F.lit(0).cast("double"))
+        return F.coalesce(F.sum(c), F.lit(0))
     return F.when(F.count(c) == F.count(F.lit(1)), F.sum(c))
 
 
@@ -53,10 +54,28 @@ def sum_by(
     cols: Sequence[str],
     na: str = "skip",
     drop_null_keys: bool = False,
+    decimals: int | None = None,
 ) -> DataFrame:
-    return _keep_keys(df, keys, drop_null_keys).groupBy(*keys).agg(
-        *[total(F.col(c).cast("double"), na).alias(c) for c in cols]
-    )
+    """Sums per key. Whole numbers and decimals keep their kind and every digit;
+    a sum beyond it raises an error. Other columns are added as doubles, whose
+    last digits depend on the order of the rows, unless ``decimals`` is given:
+    then each value is rounded to so many decimals and added as a whole number,
+    exactly and in any order.
+    """
+    return _keep_keys(df, keys, drop_null_keys).groupBy(*keys).agg(*[_summed(df, c, na, decimals).alias(c) for c in cols])
+
+
+def _summed(df: DataFrame, c: str, na: str, decimals: int | None) -> Column:
+    kind = df.schema[c].dataType if c in df.columns else None
+    if isinstance(kind, T.DecimalType):
+        return total(F.col(c), na)
+    if isinstance(kind, T.IntegralType):
+        return total(F.col(c).cast("bigint"), na)
+    x = F.col(c).cast("double")
+    if decimals is None:
+        return total(x, na).cast("double")
+    whole = F.round(x * F.lit(10.0**decimals)).cast("decimal(38,0)")
+    return total(whole, na).cast("double") / F.lit(10.0**decimals)
 
 
 def mean_by(

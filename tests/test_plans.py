@@ -173,7 +173,7 @@ def test_community_analysis(spark, counts):
     assert {r[0] for r in factors.select("season").distinct().collect()} == {"Su", "F"}
     found = community.group_tests(genera, ["island"], perms=19)["island"]
     assert found[0].first()["permutations"] == 19 and found[1].count() == 3
-    result, taxa = community.ordinate(genera, k=2, starts=1, max_iter=2, check_every=2)
+    result, taxa = community.ordinate(genera, k=2, starts=1, max_iter=2)
     assert result.scores.count() == factors.count() and taxa.count() == 4
 
 

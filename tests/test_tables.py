@@ -332,3 +332,15 @@ def test_shares_and_bounds(spark, rows):
 def test_complete_keeps_missing_keys(spark, rows):
     df = spark.createDataFrame([("a", "x", 1), (None, "x", 5), ("a", None, 7)], "s string, t string, v int")
     assert rows(P.complete(df, "s", "t", "v")) == [(None, None, 0), (None, "x", 5), ("a", None, 7), ("a", "x", 1)]
+
+
+def test_sums_keep_every_digit(spark, rows):
+    big = 2**53
+    data = [("a", big, "0.1", 1e16), ("a", 1, "0.2", 1.0), ("a", 1, None, -1e16), ("b", None, None, None)]
+    df = spark.createDataFrame(data, "k string, n long, d string, x double").withColumn("d", F.col("d").cast("decimal(10,1)"))
+    out = S.sum_by(df, ["k"], ["n", "d", "x"], decimals=2)
+    assert dict(out.dtypes)["n"] == "bigint" and dict(out.dtypes)["d"].startswith("decimal") and dict(out.dtypes)["x"] == "double"
+    got = {r["k"]: (r["n"], float(r["d"]), r["x"]) for r in out.collect()}
+    assert got == {"a": (big + 2, 0.3, 1.0), "b": (0, 0.0, 0.0)}
+    missing = {r["k"]: r["n"] for r in S.sum_by(df, ["k"], ["n"], na="propagate").collect()}
+    assert missing == {"a": big + 2, "b": None}
