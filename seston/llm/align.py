@@ -20,7 +20,7 @@ Links are not shuffled by pair, so no pair is a hot key: it is there once a bloc
   and equal texts count once each.
 * Whole texts of any length; a text longer than a block is a block of its own.
   An empty table gives an empty result. Columns of the input are passed through;
-  one named like a result raises ``ValueError``.
+  one named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -186,9 +186,8 @@ def align(docs: DataFrame, text: str = "text", model_a: str | bytes = MODEL_A, m
     (``a1,a2|b1;a3|b2,b3``), ``block``, and the distinct linked ``pairs`` with
     the ``times`` each is linked in the text (see ``counted``). The models are
     paths the session's driver can read, or their content."""
+    docs = docs.drop(*[c for c in docs.columns if c != text and c.lower() in RESULTS])
     kept = [c for c in docs.columns if c != text]
-    if clash := set(RESULTS) & {c.lower() for c in kept}:
-        raise ValueError(f"columns {sorted(clash)} are results of this operator")
     data = []
     for model in (model_a, model_b):
         if isinstance(model, str):

@@ -14,7 +14,7 @@ of trees; a few long ones are merged one by one.
 * Equal ranks: the leftmost pair goes first. Equal rows get equal ids.
 * Whole texts of any length; ``CACHE`` bounds the words a task remembers.
 * An empty table gives an empty result. Columns of the input are passed through;
-  one named like a result raises ``ValueError``.
+  one named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -273,8 +273,7 @@ def encode(docs: DataFrame, text: str = "text", model: str | bytes = MODEL) -> D
     """``docs`` without the text; adds ``ids``, ``n_tokens`` and ``decoded``,
     the text that the ids give back. ``model`` is a path the session's driver
     can read, or the file's content; tasks get its bytes."""
-    if clash := {"ids", "n_tokens", "decoded"} & {c.lower() for c in docs.columns if c != text}:
-        raise ValueError(f"columns {sorted(clash)} are results of this operator")
+    docs = docs.drop(*[c for c in docs.columns if c != text and c.lower() in ("ids", "n_tokens", "decoded")])
     model, key = loaded(model)
 
     def make():
@@ -295,8 +294,7 @@ def encode(docs: DataFrame, text: str = "text", model: str | bytes = MODEL) -> D
 
 def decode(tokens: DataFrame, ids: str = "ids", model: str | bytes = MODEL) -> DataFrame:
     """``tokens`` without ``ids``; adds ``decoded``. NULL ids give NULL."""
-    if clash := {"decoded"} & {c.lower() for c in tokens.columns if c != ids}:
-        raise ValueError(f"columns {sorted(clash)} are results of this operator")
+    tokens = tokens.drop(*[c for c in tokens.columns if c != ids and c.lower() == "decoded"])
     model, key = loaded(model)
     kept = [c for c in tokens.columns if c != ids]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema if f.name != ids] + ["decoded string"])

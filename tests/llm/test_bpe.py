@@ -80,8 +80,8 @@ def test_table(spark, library):
         else:
             assert r.ids == library.encode(text, add_special_tokens=False).ids and r.n_tokens == len(r.ids)
     assert bpe.encode(docs.limit(0)).collect() == []
-    with pytest.raises(ValueError, match="ids"):
-        bpe.encode(docs.withColumnRenamed("size", "IDS"))
+    clash = bpe.encode(docs.withColumnRenamed("size", "IDS")).where("doc_id = 0").first()
+    assert clash.asDict() == {k: v for k, v in next(r for r in got if r.doc_id == 0).asDict().items() if k != "size"}
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no driver tables")
