@@ -4,13 +4,14 @@ whole texts in tasks, logistic calibration and connected components."""
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from seston.durable import Staged
 
@@ -39,12 +40,15 @@ def over_texts(
     keep_text: bool = False,
 ) -> DataFrame:
     """``df`` with the columns ``added`` (a DDL list), and without ``text``
-    unless it is kept.
+    unless it is kept. A column of ``df`` named like an added one, in whatever
+    case, is replaced by it.
 
     ``make`` runs once per task and returns a function from texts (None for
     NULL) to the added columns. Texts are handed over whole, a slice at a time.
     """
-    kept = [c for c in df.columns if keep_text or c != text]
+    new_names = {f.name.lower() for f in StructType.fromDDL(added)}
+    df = df.drop(*[c for c in df.columns if c != text and c.lower() in new_names])
+    kept = [c for c in df.columns if (keep_text or c != text) and c.lower() not in new_names]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in kept] + [added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,6 +63,22 @@ def over_texts(
     return df.mapInArrow(run, schema)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def unused_prefix(names: Iterable[str], df: DataFrame) -> str:
+    """A prefix that makes of ``names`` columns that ``df`` does not have."""
+    have, prefix = {c.lower() for c in df.columns}, "_"
+    while any((prefix + n).lower() in have for n in names):
+        prefix += "_"
+    return prefix
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int,
     doc_id: str = "doc_id", text: str = "text",
@@ -68,7 +88,8 @@ def labelled_sample(
     Rows are taken in the order of a hash of their id, so reruns agree and the
     choice does not depend on the order of the tables. The bound is the only
     thing that keeps the sample small: it is the one part of a model that
-    passes the driver. Ids that are labelled twice count with the smaller label.
+    passes the driver. Ids that are labelled twice count with the smaller label,
+    ids of several texts with the last of them in code-point order.
     """
     known = (
         labels.where(learn & F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
@@ -82,9 +103,9 @@ def labelled_sample(
     for value in (0, 1):
         part = known.where(F.col("_label") == value).orderBy("_order", doc_id).limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select(doc_id, text).join(F.broadcast(chosen), doc_id).select("_order", doc_id, text, "_label").collect()
-    rows = {r[1]: r for r in sorted(rows, key=lambda r: (r[0], r[1], r[2] or ""))}
-    return [(r[2], r[3]) for r in sorted(rows.values(), key=lambda r: (r[0], r[1])) if r[2] is not None]
+    rows = docs.select(doc_id, text).join(F.broadcast(chosen), doc_id)
+    rows = rows.groupBy("_order", doc_id, "_label").agg(F.max(text)).collect()
+    return [(t, label) for _, _, label, t in sorted(rows, key=lambda r: (r[0], r[1]))]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:

@@ -10,7 +10,8 @@ of very unequal length.
 * A text of fewer words than a shingle has its whole word sequence as its one
   shingle. A text with words none of whose hashes is below the threshold keeps
   its smallest hash, so equal texts, and only texts without words, agree on
-  nothing by being empty.
+  nothing by being empty. This one hash tells nothing of the text's share in a
+  text that has hashes below the threshold: containment there is NULL.
 * Equal texts have equal sketches; repeated shingles count once.
 """
 
@@ -40,11 +41,14 @@ def shingle_hashes(tokens: Column, size: int = WORDS) -> Column:
     return F.when(F.size(tokens) >= size, each).when(F.size(tokens) > 0, whole).otherwise(none)
 
 
+def limit(fraction: float) -> Column:
+    return F.lit(LOWEST + int(fraction * 2**64)).cast("bigint")
+
+
 def keep_below(hashes: Column, fraction: float = FRACTION) -> Column:
     """The sorted distinct hashes below the threshold, or the smallest one."""
-    limit = LOWEST + int(fraction * 2**64)
-    below = F.filter(hashes, lambda h: h < F.lit(limit).cast("bigint"))
-    some = F.exists(hashes, lambda h: h < F.lit(limit).cast("bigint"))
+    below = F.filter(hashes, lambda h: h < limit(fraction))
+    some = F.exists(hashes, lambda h: h < limit(fraction))
     return F.when(F.size(hashes) == 0, hashes).when(some, F.array_sort(F.array_distinct(below))).otherwise(
         F.array(F.array_min(hashes))
     )
@@ -62,9 +66,9 @@ def with_sketch(df: DataFrame, text: str, name: str, size: int = WORDS, fraction
     )
 
 
-def merged(a: Column, b: Column) -> Column:
-    """Sketch of two texts taken together."""
-    return F.array_sort(F.array_union(a, b))
+def merged(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Sketch of the shingles of two texts taken together."""
+    return keep_below(F.array_union(a, b), fraction)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -74,9 +78,13 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimate of the share of ``a`` that lies in ``b``; 1 for an empty ``a``."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def containment(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Estimate of the share of ``a`` that lies in ``b``; 1 for an empty ``a``,
+    NULL if ``a`` has no hash below the threshold and its smallest one is not
+    that of ``b``."""
+    shared = F.size(F.array_intersect(a, b))
+    unknown = (shared == 0) & (F.size(b) > 0) & (F.array_min(a) >= limit(fraction))
+    return F.when(F.size(a) == 0, F.lit(1.0)).when(~unknown, shared / F.size(a))
 
 
 def as_text(sketch: Column) -> Column:
@@ -135,7 +143,8 @@ def edited_fingerprints(
     replaced by as many first code points of the next text, or all of it if it
     is shorter. Returns one row per input row: doc_id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next, inside_next (the
-    estimated share of the text found in the next). Columns of ``docs`` other
+    estimated share of the text found in the next, NULL where the sketch of a
+    short text cannot tell). Columns of ``docs`` other
     than id and text are ignored. An empty table gives an empty result; a
     single row is its own next.
     """
@@ -160,5 +169,5 @@ def edited_fingerprints(
         as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
-        containment(F.col("sketch"), F.col("next_sketch")).alias("inside_next"),
+        containment(F.col("sketch"), F.col("next_sketch"), fraction).alias("inside_next"),
     )

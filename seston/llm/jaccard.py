@@ -41,10 +41,10 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, MapType
 
 from seston.durable import Staged
-from seston.llm.common import components, over_texts
+from seston.llm.common import components, over_texts, unused
 
 WORDS = 3
 #: linked if 100 * intersection >= PERCENT * union
@@ -230,11 +230,15 @@ class Join:
         self.rows = Staged(self._wide.df.drop("keys"))
         same = ["n", "d1", "d2"]
         self.classes = Staged(
-            self.rows.df.where("n > 0").groupBy(*same).agg(F.min("row").alias("id"), F.min("doc_id").alias("least"))
+            self.rows.df.where("n > 0").groupBy(*same).agg(
+                F.min("row").alias("id"),
+                F.min("doc_id").alias("least"),
+                F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "mark")).alias("first"),
+            )
         )
 
-    def run(self) -> DataFrame:
-        """doc_id, n_shingles, component_id."""
+    def named(self) -> DataFrame:
+        """The classes, each with the id ``c`` of its component."""
         lanes = [f"b{i}" for i in range(LANES)]
         ids = self.classes.df.select("id")
         of_class = lambda t: t.withColumnRenamed("row", "id").join(ids, "id", "left_semi")
@@ -270,7 +274,19 @@ class Join:
         second = Staged(self.verified(self.across(rest, small), small))
         whole.drop()
         part = components(linked_pairs.unionByName(second.df))
-        named = self.classes.df.join(part, "id", "left").withColumn("c", F.coalesce("component", "id"))
+        for table in (*first, second):
+            table.drop()
+        return self.classes.df.join(part, "id", "left").withColumn("c", F.coalesce("component", "id"))
+
+    def representatives(self) -> DataFrame:
+        """doc_id and mark of one row of each component: its smallest id, and
+        of this the smallest hash of a text."""
+        first = self.named().groupBy("c").agg(F.min("first").alias("first"))
+        return first.select("first.doc_id", "first.mark")
+
+    def run(self) -> DataFrame:
+        """doc_id, n_shingles, component_id."""
+        named = self.named()
         least = named.groupBy("c").agg(F.min("least").alias("component_id"))
         answer = named.join(least, "c").select("n", "d1", "d2", "component_id")
         rows = self.rows.df.select("doc_id", "n", "d1", "d2").join(answer, ["n", "d1", "d2"], "left")
@@ -339,17 +355,31 @@ def jaccard_components(
     return Join(docs, doc_id, text, words, percent).run()
 
 
-def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, each id once. Rows
-    with a NULL id stay, since no id names them."""
-    found = Staged(jaccard_components(docs, doc_id, text, **options)).df
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs[doc_id].cast("bigint") == F.col("_keep"), "left_semi")
-    kept = kept.unionByName(docs.where(F.col(doc_id).isNull()))
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    again = repeated.select(F.col("doc_id").alias("_again"))
-    same = F.col(doc_id).cast("bigint") == F.col("_again")
-    once = kept.join(again, same, "left_semi").dropDuplicates([doc_id])
-    return kept.join(again, same, "left_anti").unionByName(once)
+def one_per_component(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT
+) -> DataFrame:
+    """One row of ``docs`` of each component, with its columns of any name: a
+    row of the smallest id, NULL last; of several texts of that id the one of
+    the smallest hash, of equal ones the one whose columns have the smallest
+    hash. Rows without words are linked with nothing, so each of them stays."""
+    join = Join(docs, doc_id, text, words, percent)
+    chosen = Staged(join.representatives())
+    join.rows.drop()
+    join.classes.drop()
+    its_id, its_mark = F.col(f"`{doc_id}`").cast("bigint"), F.xxhash64(F.col(f"`{text}`"))
+    has_words = F.coalesce(F.col(f"`{text}`").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    mark = unused("_of", docs)
+    keep = chosen.df.select(F.struct("doc_id", "mark").alias(mark))
+    same = its_id.eqNullSafe(F.col(mark)["doc_id"]) & (its_mark == F.col(mark)["mark"])
+    kept = docs.where(has_words).join(keep, same, "left_semi")
+    # rows that agree in id and text are one component, of which one row stays
+    place = [its_id.alias("id"), its_mark.alias("mark")]
+    repeated = kept.groupBy(*place).count().where("count > 1").select(F.struct("id", "mark").alias(mark))
+    repeated = Staged(repeated).df
+    if not repeated.isEmpty():
+        again = its_id.eqNullSafe(F.col(mark)["id"]) & (its_mark == F.col(mark)["mark"])
+        plain = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)]
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        once = kept.join(repeated, again, "left_semi").groupBy(*place).agg(F.min_by(whole, F.xxhash64(*plain)).alias("row"))
+        kept = kept.join(repeated, again, "left_anti").unionByName(once.select("row.*"))
+    return kept.unionByName(docs.where(~has_words))

@@ -10,7 +10,8 @@ what unseen text of the language itself needs, wins.
 * NULL, empty texts and texts without letters are ``und`` with score 0. So is
   every text if nothing was learned.
 * Ties go to the language first in code point order. Equal rows get equal
-  results; an empty table gives an empty result.
+  results; an empty table gives an empty result. Columns named like the results
+  are replaced by them.
 * Learning is bounded by ``PER_LANGUAGE`` texts and ``LETTERS`` bytes of
   distinct words of each language. A language of one labelled text is measured
   like the others, with the mean of all where its text does not suffice.
@@ -18,7 +19,7 @@ what unseen text of the language itself needs, wins.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -181,7 +182,7 @@ def sample(docs: DataFrame, learn_from: Column, doc_id: str, text: str, lang: st
 
 def identify(docs: DataFrame, model: dict[str, tuple[bytes, float]], text: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` without the text; adds ``lang_pred`` and ``score``."""
-    key = ("language", *((x, zlib.crc32(m[0]), m[1]) for x, m in sorted(model.items())))
+    key = ("language", *((x, hashlib.sha256(m[0]).hexdigest(), m[1]) for x, m in sorted(model.items())))
 
     def make():
         parser = kept_for(key, lambda: Parser(model))

@@ -12,6 +12,8 @@ trust by ``THRESHOLD``.
 * A NULL url or one without ``://`` has the empty host and path and fits no
   rule; the empty host is a host like any other.
 * NULL html has no links. Links within a host do not count; repeated links add up.
+* Propagation runs until scores are known to ``SAFE`` times the threshold.
+* Repeated rows count as pages of their own; html of any length is searched whole.
 * Hosts without links out give their rank back to the starting pages. Without
   starting pages of a kind its scores are 0. An empty table gives an empty result.
 * Rules are part of the query plan; their number should stay in the hundreds.
@@ -25,8 +27,12 @@ from pyspark.sql import functions as F
 from seston.durable import Staged
 
 DAMPING = 0.85
-ROUNDS = 30
+#: a graph that needs more rounds than this is an error, not a result
+ROUNDS = 500
+#: error of a rank, of all pages that a propagation starts from
 ENOUGH = 1e-9
+#: error of a score, of the threshold of a verdict
+SAFE = 1e-3
 THRESHOLD = 0.5
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = "(?s)://([^/?#]*)([^?#]*)"
@@ -66,7 +72,9 @@ def propagate(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     ``nodes``: kind, host, seed (sums to 1 or 0 within a kind); ``edges``: kind,
     a, b, n. Returns kind, host, rank, written to the shared folder; so is each
     round, which ends its lineage. The sums sent back to the session are one
-    row per kind.
+    row per kind. Rounds go on until no sum of ranks can change by ``enough``
+    any more: what is left to come is at most the last change times
+    ``damping / (1 - damping)``. If ``rounds`` do not suffice it raises.
     """
     out = edges.groupBy("kind", "a").agg(F.sum("n").alias("_all"))
     shares = Staged(edges.join(out, ["kind", "a"]).select("kind", "a", "b", (F.col("n") / F.col("_all")).alias("share")))
@@ -95,8 +103,10 @@ def propagate(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
         change = after.df.agg(F.sum(F.abs(F.col("rank") - F.col("_before")))).first()[0] or 0.0
         current.drop()
         current = after
-        if change < enough:
+        if change * damping <= enough * (1 - damping):
             break
+    else:
+        raise RuntimeError(f"ranks still change by {change} after {rounds} rounds")
     shares.drop()
     return current
 
@@ -128,7 +138,8 @@ def filter_urls(
     forward = links.df.select(F.lit("trust").alias("kind"), "a", "b", "n")
     backward = links.df.select(F.lit("distrust").alias("kind"), F.col("b").alias("a"), F.col("a").alias("b"), "n")
     edges = forward.unionByName(backward)
-    ranks = propagate(nodes, edges).df
+    # in pages, as the threshold is
+    ranks = propagate(nodes, edges, enough=SAFE * threshold / max(1.0, *[n for _, n in kinds])).df
     wide = ranks.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("rank") * n)).alias(f"_{k}") for k, n in kinds])
     scored = counts.df.join(wide, "host").select(
         "host", (F.col("_trust") / F.col("pages")).alias("trust"), (F.col("_distrust") / F.col("pages")).alias("distrust")

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seston.durable import Staged
+from seston.llm.common import unused
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -162,14 +163,6 @@ def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def unused(name: str, df: DataFrame) -> str:
-    """A column name that ``df`` does not have."""
-    have = {c.lower() for c in df.columns}
-    while name.lower() in have:
-        name += "_"
-    return name
-
-
 #: the same rows in SQL, with one plain window per source
 SQL = f"""
 WITH d AS (

@@ -45,6 +45,8 @@ SLACK = 1e-4
 
 def unit_rows(values: np.ndarray) -> np.ndarray:
     values = np.asarray(values, np.float64)
+    # a power of two brings the largest component near 1, so that squares neither overflow nor vanish
+    values = np.ldexp(values, -np.frexp(np.abs(values).max(1, initial=0.0))[1][:, None])
     return values / np.sqrt((values * values).sum(1))[:, None]
 
 

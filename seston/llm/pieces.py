@@ -21,8 +21,8 @@ the path with the best sum of scores is taken.
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from itertools import chain
 
 import numpy as np
@@ -298,12 +298,12 @@ class Encoder:
 
 def encode(docs: DataFrame, text: str = "text", model: str | bytes = MODEL) -> DataFrame:
     """``docs`` without the text; adds ``ids``, ``n_tokens`` and ``round_trip``
-    (whether the ids decode to the text). ``model`` is a path the session's
+    (whether the ids decode to the text), in place of columns of these names. ``model`` is a path the session's
     driver can read, or the model itself; tasks get its bytes."""
     if isinstance(model, str):
         with open(model, "rb") as f:
             model = f.read()
-    key = ("pieces", len(model), zlib.crc32(model))
+    key = ("pieces", hashlib.sha256(model).hexdigest())
 
     def make():
         encoder = kept_for(key, lambda: Encoder(model))
@@ -325,13 +325,15 @@ def encode(docs: DataFrame, text: str = "text", model: str | bytes = MODEL) -> D
 
 
 def decode(tokens: DataFrame, ids: str = "ids", model: str | bytes = MODEL) -> DataFrame:
-    """``tokens`` without ``ids``; adds ``text``. NULL ids give NULL text."""
+    """``tokens`` without ``ids``; adds ``text``, in place of a column of that
+    name. NULL ids give NULL text."""
+    tokens = tokens.drop(*[c for c in tokens.columns if c != ids and c.lower() == "text"])
     if isinstance(model, str):
         with open(model, "rb") as f:
             model = f.read()
     kept = [c for c in tokens.columns if c != ids]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema if f.name != ids] + ["text string"])
-    key = ("pieces", len(model), zlib.crc32(model))
+    key = ("pieces", hashlib.sha256(model).hexdigest())
 
     def run(batches):
         encoder = kept_for(key, lambda: Encoder(model))

@@ -11,6 +11,8 @@ that were not in the dictionaries they are measured with (two halves, crosswise)
 * NULL and empty texts have the difference 0 and get the score of 0.
 * Texts of any length are scored whole; memory holds a slice of a batch.
 * Repeated rows get equal scores; an empty table gives an empty result.
+* Ties at the threshold count as 1. Columns named like the results are replaced
+  by them.
 * Without labelled texts of both classes the score is the smoothed share of
   good labels for every text.
 * The labelled sample is bounded by ``per_class`` texts of each class.

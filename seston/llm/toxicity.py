@@ -19,6 +19,8 @@ scores become a probability by a logistic curve.
 * NULL, empty texts and texts without letters have no passage and get a score.
 * Whole texts are scanned; equal rows get equal scores; an empty table gives an
   empty result.
+* Ties at the threshold count as 1. Columns named like the results are replaced
+  by them.
 * The labelled sample is bounded by ``per_class`` texts of each class.
 """
 

@@ -76,7 +76,7 @@ def test_rank_against_iteration(spark):
     nodes = [("k", x, 0.5 if x in "ab" else 0.0) for x in "abcd"]
     ranks = links.propagate(
         spark.createDataFrame(nodes, "kind string, host string, seed double"),
-        spark.createDataFrame(edges, "kind string, a string, b string, n long"), rounds=60,
+        spark.createDataFrame(edges, "kind string, a string, b string, n long"),
     )
     got = {r.host: r["rank"] for r in ranks.df.collect()}
     r = {x: s for _, x, s in nodes}
