@@ -10,17 +10,22 @@ before it kept.
 5. pieces: token ids
 
 A model of stage 1 or 2 is learned from that stage's own documents and the
-labels of the folder, outside the held-out fold.
+labels of the folder, outside the held-out fold. Columns besides ``doc_id``,
+``source`` and ``text`` are carried as they are, whatever their names, up to the
+last stage, which returns ids, sources and tokens. NULL and empty texts are
+scored like others, linked with nothing and mixed once; their tokens are NULL or
+none. Of rows alike in id and text one stays. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seston.durable import Staged
 from seston.llm import jaccard, mixing, pieces, quality, toxicity
-from seston.llm.common import fold
+from seston.llm.common import fold, unused_prefix
 
 #: lower than the threshold of a prediction: what is in doubt stays
 QUALITY = 0.5
@@ -28,16 +33,24 @@ WORDS = 5
 PERCENT = 80
 
 
+def own_columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.learn(docs, labels, fold("doc_id", 3) != 1)
-    return toxicity.score(docs, model, prefix="_", keep_text=True).where("_predicted = 0").select(*docs.columns)
+    mark = unused_prefix(("score", "predicted", "passages"), docs)
+    scored = toxicity.score(docs, model, prefix=mark, keep_text=True)
+    return scored.where(F.col(f"{mark}predicted") == 0).select(*own_columns(docs))
 
 
 def remove_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.learn(docs, labels, fold("doc_id", 4) != 2)
-    return quality.score(docs, model, prefix="_", keep_text=True).where(F.col("_score") >= QUALITY).select(*docs.columns)
+    mark = unused_prefix(("score", "predicted"), docs)
+    scored = quality.score(docs, model, prefix=mark, keep_text=True)
+    return scored.where(F.col(f"{mark}score") >= QUALITY).select(*own_columns(docs))
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
