@@ -35,13 +35,12 @@ from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, MapType
+from pyspark.sql.types import MapType
 
 from seston.durable import Staged
 from seston.llm.common import components, over_texts, unused
@@ -184,15 +183,15 @@ def may_link(a: str, b: str, percent: int) -> Column:
     return linked(F.floor((na + nb - least) / 2), na, nb, percent)
 
 
-def overlaps(words: int) -> Callable[..., Column]:
-    """Size of the intersection of the sets of two texts, from (id, packed text)
-    of each; the sets last met, up to ``KEPT`` elements, are not made again."""
+def linked_members(words: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The linked pairs (a, b) of rows (a, id, packed text) in the order of a,
+    where the row of a itself comes before those it is compared with; the sets
+    last met, up to ``KEPT`` elements, are not made again."""
 
-    @F.pandas_udf(LongType())
-    def overlap(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         known: OrderedDict[int, np.ndarray] = OrderedDict()
-        held = 0
+        held, head, last, first = 0, None, None, np.empty(0, np.uint64)
 
         def elements(key: int, packed: bytes) -> np.ndarray:
             nonlocal held
@@ -211,11 +210,25 @@ def overlaps(words: int) -> Callable[..., Column]:
             at = np.searchsorted(y, x)
             return int((y[np.minimum(at, len(y) - 1)] == x).sum())
 
-        for a, packed_a, b, packed_b in batches:
-            rows = zip(a, packed_a, b, packed_b, strict=True)
-            yield pd.Series([common(elements(i, x), elements(j, y)) for i, x, j, y in rows], dtype="int64")
-
-    return overlap
+        for batch in batches:
+            found = []
+            for a, b, packed in zip(*(batch.column(c) for c in ("a", "id", "packed")), strict=True):
+                a, b = a.as_py(), b.as_py()
+                if a == b:
+                    if head != a:
+                        head, first = a, elements(a, packed.as_py())
+                elif head != a:
+                    raise RuntimeError("a text is gone that was there before")
+                elif last != (a, b):  # repeated rows follow each other
+                    other = elements(b, packed.as_py())
+                    shared = common(first, other)
+                    if 100 * shared >= percent * (len(first) + len(other) - shared):
+                        found.append((a, b))
+                last = (a, b)
+            ends = [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+    return run
 
 
 class Join:
@@ -321,13 +334,18 @@ class Join:
         )
 
     def verified(self, pairs: DataFrame, small: DataFrame) -> DataFrame:
-        """The pairs (a, b) of class ids that are linked; all passed the bounds."""
+        """The pairs (a, b) of class ids that are linked; all passed the bounds.
+
+        The partners of an a are dealt into blocks. A text goes straight to the
+        blocks that need it, so that of a travels once per block."""
         kept = Staged(pairs)
-        wanted = kept.df.select(F.col("a").alias("id")).union(kept.df.select("b")).distinct()
-        known = small.select("id", "doc_id", "mark", "n").join(wanted, "id", "left_semi")
-        of = known.select("id", "n", F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"))
+        blocks = F.ceil(F.count("*") / BLOCK).cast("int")
+        heads = kept.df.groupBy("a").agg(blocks.alias("blocks"))
+        members = kept.df.join(heads, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("k"), F.col("b").alias("id"))
+        heads = heads.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"), F.col("a").alias("id"))
+        of = small.select("id", F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).join(members.unionByName(heads), "id")
         same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_mark"))
-        texts = self._docs.join(of, same).select("id", "n", "text")
+        texts = self._docs.join(of, same).select("a", "k", "id", "text")
 
         def make():
             pack = zstandard.ZstdCompressor(level=3).compress
@@ -339,13 +357,9 @@ class Join:
             return work
 
         # packed texts are much smaller than their sets, of which each element is eight random bytes
-        sets = over_texts(texts, "text", make, "packed binary")
-        sets = sets.groupBy("id").agg(F.first("n").alias("n"), F.first("packed").alias("packed"))
-        x, y = sets.alias("x"), sets.alias("y")
-        both = kept.df.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
-        shared = overlaps(self._words)("a", "x.packed", "b", "y.packed").alias("i")
-        both = both.select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"), shared)
-        return both.where(linked(F.col("i"), F.col("na"), F.col("nb"), self._percent)).select("a", "b")
+        packed = over_texts(texts, "text", make, "packed binary")
+        dealt = packed.repartition("a", "k").sortWithinPartitions("a", "k", F.col("id") != F.col("a"), "id")
+        return dealt.mapInArrow(linked_members(self._words, self._percent), "a bigint, b bigint")
 
 
 def jaccard_components(
