@@ -446,6 +446,63 @@ def _(t):
     )
 
 
+def _t_rounds(rounds: int) -> str:
+    """Robust centre and scatter, unrolled: every point carries its weight."""
+    ctes = ["""p0 AS MATERIALIZED (SELECT event_type AS g, CAST(user_id AS DOUBLE) AS x, CAST(value AS DOUBLE) AS y,
+  CAST(1 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS cx, CAST(0 AS DOUBLE) AS cy, CAST(0 AS DOUBLE) AS lx,
+  CAST(0 AS DOUBLE) AS ly, false AS done, 0 AS k FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL)""",
+    """a0 AS MATERIALIZED (SELECT g, avg(x) AS cx, avg(y) AS cy FROM p0 GROUP BY g),
+b0 AS MATERIALIZED (SELECT g, x, y, w, a0.cx, a0.cy, a0.cx AS lx, a0.cy AS ly, done, k FROM p0 JOIN a0 USING (g))"""]
+    for k in range(1, rounds + 1):
+        ctes.append(f"""s{k} AS MATERIALIZED (SELECT g, sum(w * (x - cx) * (x - cx)) / sum(w) AS sxx,
+  sum(w * (y - cy) * (y - cy)) / sum(w) AS syy, sum(w * (x - cx) * (y - cy)) / sum(w) AS sxy FROM b{k - 1} GROUP BY g),
+w{k} AS MATERIALIZED (SELECT b.*, CASE WHEN done THEN w ELSE 7 / (5 + (syy * (x - cx) ** 2 - 2 * sxy * (x - cx) * (y - cy)
+  + sxx * (y - cy) ** 2) / (sxx * syy - sxy * sxy)) END AS v FROM b{k - 1} b JOIN s{k} USING (g)),
+c{k} AS MATERIALIZED (SELECT g, sum(v * x) / sum(v) AS nx, sum(v * y) / sum(v) AS ny, max(abs(v - w)) < 0.01 AS ok FROM w{k} GROUP BY g),
+b{k} AS MATERIALIZED (SELECT g, x, y, v AS w, CASE WHEN done THEN cx ELSE nx END AS cx, CASE WHEN done THEN cy ELSE ny END AS cy,
+  CASE WHEN done THEN lx ELSE cx END AS lx, CASE WHEN done THEN ly ELSE cy END AS ly, done OR ok AS done,
+  CASE WHEN done THEN k ELSE {k} END AS k FROM w{k} JOIN c{k} USING (g))""")
+    ctes.append(f"""fit AS MATERIALIZED (SELECT g AS event_type, count(*) AS n, any_value(cx) AS cx, any_value(cy) AS cy,
+  sum(w * (x - lx) ** 2) / count(*) AS vx, sum(w * (y - ly) ** 2) / count(*) AS vy, sum(w * (x - lx) * (y - ly)) / count(*) AS c,
+  any_value(k) AS rounds, any_value(done) AS converged FROM b{rounds} GROUP BY g)""")
+    return ",\n".join(ctes)
+
+
+T_ROUNDS = 25
+
+
+@query(
+    "robust_moments",
+    f"""WITH {_t_rounds(T_ROUNDS)} SELECT event_type, n, round(cx, 4) AS centre_x, round(cy, 4) AS centre_y, round(vx, 3) AS var_x,
+      round(vy, 3) AS var_y, round(c, 3) AS cov_xy, rounds, converged FROM fit""",
+)
+def _(t):
+    out = C.robust_moments(t.events, "user_id", "value", ["event_type"], rounds=T_ROUNDS)
+    return out.select(
+        "event_type",
+        "n",
+        *[F.round(c, 4).alias(c) for c in ("centre_x", "centre_y")],
+        *[F.round(c, 3).alias(c) for c in ("var_x", "var_y", "cov_xy")],
+        "rounds",
+        "converged",
+    )
+
+
+@query(
+    "group_t_ellipse",
+    f"""WITH {_t_rounds(T_ROUNDS)}, r AS (SELECT *, sqrt((n - 1.0) * (pow(0.05, -2.0 / (n - 1)) - 1)) AS r, sqrt(vx) AS a,
+        c / sqrt(vx) AS b, sqrt(vy - c * c / vx) AS e FROM fit)
+    SELECT event_type, CAST(k AS INT) AS vertex, round(cx + r * a * cos(k * 2 * pi() / 51), 3) AS user_id,
+      round(cy + r * (b * cos(k * 2 * pi() / 51) + e * sin(k * 2 * pi() / 51)), 3) AS value
+    FROM r, generate_series(0, 51) g(k)""",
+)
+def _(t):
+    out = C.group_t_ellipse(t.events, "user_id", "value", ["event_type"], rounds=T_ROUNDS)
+    return out.select(
+        "event_type", "vertex", F.round("user_id", 3).alias("user_id"), F.round("value", 3).alias("value")
+    )
+
+
 @query(
     "time_series",
     f"""WITH {OBS} SELECT survey, stratum, count(DISTINCT taxon) AS richness, round(ln(sum(density)), 6) AS log_density,

@@ -9,6 +9,8 @@ from itertools import combinations, combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seston.durable import Staged, stage
+from seston.operators.joins import natural_join
 from seston.operators.ranks import tukey_five
 from seston.operators.summary import complete_rows
 
@@ -168,13 +170,16 @@ def group_ellipse(
     freedom that quantile is (m/2)((1-level)^(-2/m) - 1) with m = n - 1. Groups
     of fewer than four points have no outline.
     """
+    return _outline(group_moments(df, x, y, by), x, y, by, level, vertices)
+
+
+def _outline(moments: DataFrame, x: str, y: str, by: Sequence[str], level: float, vertices: int) -> DataFrame:
     m = (F.col("n") - 1).cast("double")
     radius = F.sqrt(m * (F.pow(F.lit(1.0 - level), -2.0 / m) - 1.0))
     a = F.sqrt("var_x")
     b = F.col("cov_xy") / F.when(a != 0, a)
     c = F.sqrt(F.greatest(F.col("var_y") - b * b, F.lit(0.0)))
-    moments = group_moments(df, x, y, by).filter(F.col("n") >= 4)
-    ring = moments.withColumns({"r": radius, "a": a, "b": b, "c": c}).withColumn(
+    ring = moments.filter(F.col("n") >= 4).withColumns({"r": radius, "a": a, "b": b, "c": c}).withColumn(
         "vertex", F.explode(F.sequence(F.lit(0), F.lit(vertices - 1)))
     )
     angle = F.col("vertex") * F.lit(2 * math.pi / (vertices - 1))
@@ -184,3 +189,118 @@ def group_ellipse(
         (F.col("centre_x") + F.col("r") * F.col("a") * F.cos(angle)).alias(x),
         (F.col("centre_y") + F.col("r") * (F.col("b") * F.cos(angle) + F.col("c") * F.sin(angle))).alias(y),
     )
+
+
+def _t_weight(x: Column, y: Column, s: Column, df_t: float) -> Column:
+    """Weight of a point under a fit ``s`` (centre and scatter) of two columns."""
+    dx, dy = x - s["x"], y - s["y"]
+    det = s["xx"] * s["yy"] - s["xy"] * s["xy"]
+    far = (s["yy"] * dx * dx - 2 * s["xy"] * dx * dy + s["xx"] * dy * dy) / F.when(det > 0, det)
+    return F.lit(df_t + 2) / (df_t + far)
+
+
+def robust_moments(
+    df: DataFrame,
+    x: str,
+    y: str,
+    by: Sequence[str],
+    df_t: float = 5.0,
+    tol: float = 0.01,
+    rounds: int = 25,
+) -> DataFrame:
+    """Centre and scatter of the points of each group under a bivariate t of
+    ``df_t`` degrees of freedom: ``by``, n, centre_x, centre_y, var_x, var_y,
+    cov_xy, rounds, converged.
+
+    Points far from the centre weigh less. Weights are a function of the last
+    fit, so no row carries state: a round is one aggregation of the points of all
+    groups that are not settled, joined to one row per group. A group settles when no
+    weight moved by ``tol``; one that has not after ``rounds`` says so in
+    ``converged``. Points with a missing or NaN side are left out, a missing key is a group
+    of its own. Groups of fewer than three points, or with all points on a line,
+    are not there.
+    """
+    if not by:
+        one = robust_moments(df.withColumn("__all", F.lit(0)), x, y, ["__all"], df_t, tol, rounds)
+        return one.drop("__all")
+    px, py = F.col("__px"), F.col("__py")
+    sides = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)) for c in (x, y)]
+    points = Staged(
+        df.select(*[F.col(f"`{c}`") for c in by], sides[0].alias("__px"), sides[1].alias("__py"))
+        .where(px.isNotNull() & py.isNotNull())
+    )
+    keys = [F.col(f"`{c}`") for c in by]
+    # sums are taken about the plain mean of the group, which loses no digits
+    first = points.df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.struct(F.avg(px).alias("x"), F.avg(py).alias("y")).alias("__mean"),
+        F.struct(
+            F.lit(0.0).alias("x"), F.lit(0.0).alias("y"),
+            F.var_pop(px).alias("xx"), F.var_pop(py).alias("yy"), F.covar_pop(px, py).alias("xy"),
+        ).alias("__fit"),
+    )
+    fit = F.col("__fit")
+    plane = fit["xx"] * fit["yy"] - fit["xy"] * fit["xy"] > 1e-12 * fit["xx"] * fit["yy"]
+    known = ["x", "y", "xx", "yy", "xy"]
+    none = F.lit(None).cast(first.schema["__fit"].dataType)
+    active = Staged(first.where((F.col("__n") > 2) & plane).withColumn("__last", none)).df
+    done = []
+    for k in range(1, rounds + 1):
+        rows = natural_join(points.df, active, "inner", list(by))
+        dx, dy = px - F.col("__mean")["x"], py - F.col("__mean")["y"]
+        w, last = _t_weight(dx, dy, fit, df_t), F.col("__last")
+        was = F.when(last.isNull(), F.lit(1.0)).otherwise(_t_weight(dx, dy, last, df_t))
+        weighed = rows.select(
+            *keys, "__n", "__mean", "__fit", dx.alias("__dx"), dy.alias("__dy"), w.alias("__w"),
+            F.abs(w - was).alias("__moved"),
+        )
+        a, b, w = F.col("__dx"), F.col("__dy"), F.col("__w")
+        sums = weighed.groupBy(*keys).agg(
+            *[F.any_value(c).alias(c) for c in ("__n", "__mean", "__fit")],
+            F.max("__moved").alias("__moved"),
+            *[F.sum(v).alias(f"__{c}") for c, v in
+              (("w", w), ("x", w * a), ("y", w * b), ("xx", w * a * a), ("yy", w * b * b), ("xy", w * a * b))],
+        )
+        total = F.col("__w")
+        new = {c: F.col(f"__{c}") / total for c in known}
+        spread = {c: new[c] - new[c[0]] * new[c[1]] for c in known[2:]}
+        settled = F.col("__moved") < tol
+        table = stage(sums.select(
+            *keys, "__n", "__mean", fit.alias("__last"), total.alias("__w"), settled.alias("__settled"),
+            F.struct(new["x"].alias("x"), new["y"].alias("y"), *[spread[c].alias(c) for c in known[2:]]).alias("__fit"),
+        ))
+        ended = table if k == rounds else table.where("__settled")
+        step = {c: fit[c] - F.col("__last")[c] for c in "xy"}
+        done.append(ended.select(
+            *keys, F.col("__n").alias("n"),
+            (F.col("__mean")["x"] + fit["x"]).alias("centre_x"), (F.col("__mean")["y"] + fit["y"]).alias("centre_y"),
+            # the scatter is about the centre that the weights were taken from
+            *[(F.col("__w") / F.col("__n") * (fit[c] + step[c[0]] * step[c[1]])).alias(name)
+              for c, name in (("xx", "var_x"), ("yy", "var_y"), ("xy", "cov_xy"))],
+            F.lit(k).alias("rounds"), F.col("__settled").alias("converged"),
+        ))
+        active = table.where("NOT __settled").drop("__settled", "__w")
+        if active.isEmpty():
+            break
+    points.drop()
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def group_t_ellipse(
+    df: DataFrame,
+    x: str,
+    y: str,
+    by: Sequence[str],
+    level: float = 0.95,
+    vertices: int = 52,
+    df_t: float = 5.0,
+    tol: float = 0.01,
+    rounds: int = 25,
+) -> DataFrame:
+    """Outline of the robust t ellipse of each group (vertex, x, y): that of
+    ``group_ellipse`` with centre and scatter of ``robust_moments``. Groups of
+    fewer than four points, or with all points on a line, have none."""
+    return _outline(robust_moments(df, x, y, by, df_t, tol, rounds), x, y, by, level, vertices)

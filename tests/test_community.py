@@ -362,6 +362,64 @@ def test_ellipse_lies_at_the_stated_radius(spark):
         assert gap @ inv @ gap == pytest.approx(radius)
 
 
+def t_fit(data, df_t=5.0, tol=0.01, rounds=25):
+    """Reweighting with a weight per point."""
+    w, centre = np.ones(len(data)), data.mean(axis=0)
+    for k in range(1, rounds + 1):
+        gap = data - centre
+        scatter = (gap * w[:, None]).T @ gap / w.sum()
+        new = (df_t + 2) / (df_t + np.einsum("ij,jk,ik->i", gap, np.linalg.inv(scatter), gap))
+        moved, w = np.abs(new - w).max(), new
+        centre = w @ data / w.sum()
+        if moved < tol:
+            break
+    return centre, (gap * w[:, None]).T @ gap / len(data), k, moved < tol
+
+
+def robust_points(spark):
+    rng = random.Random(11)
+    points = [("g", rng.gauss(3, 2), rng.gauss(-1, 1)) for _ in range(60)] + [("g", 90.0, 70.0)] * 4
+    points += [(None, 1e6 + rng.gauss(0, 1), rng.gauss(0, 5)) for _ in range(30)]
+    points += [("few", 1.0, 2.0), ("few", 2.0, 1.0), ("line", 1.0, 1.0)]
+    points += [("line", float(i), 2.0 * i - 1) for i in range(9)] + [("same", 4.0, 4.0)] * 7
+    holes = [("g", None, 1.0), ("g", 1.0, None), ("g", math.nan, 1.0)]
+    return points, spark.createDataFrame(points + holes, "g string, x double, y double")
+
+
+def test_robust_moments_withstand_outliers(spark):
+    points, df = robust_points(spark)
+    got = {r["g"]: r for r in C.robust_moments(df, "x", "y", ["g"]).collect()}
+    assert set(got) == {"g", None}
+    for g, r in got.items():
+        data = np.array([p[1:] for p in points if p[0] == g])
+        centre, scatter, k, converged = t_fit(data)
+        assert (r["n"], r["rounds"], r["converged"]) == (len(data), k, converged)
+        assert (r["centre_x"], r["centre_y"]) == pytest.approx(tuple(centre), rel=1e-9)
+        assert (r["var_x"], r["var_y"], r["cov_xy"]) == pytest.approx((scatter[0, 0], scatter[1, 1], scatter[0, 1]), rel=1e-6)
+    plain = {r["g"]: r for r in C.group_moments(df.where("NOT isnan(x)"), "x", "y", ["g"]).collect()}
+    assert abs(got["g"]["centre_x"] - 3) < 1 < plain["g"]["centre_x"] - 3
+    assert got["g"]["var_x"] < plain["g"]["var_x"] / 10
+
+
+def test_robust_moments_stop_unsettled(spark):
+    points, df = robust_points(spark)
+    got = {r["g"]: r for r in C.robust_moments(df, "x", "y", ["g"], rounds=2).collect()}
+    assert not got["g"]["converged"] and got["g"]["rounds"] == 2
+    whole = C.robust_moments(df.where("g = 'g'"), "x", "y", []).collect()
+    assert len(whole) == 1 and whole[0]["n"] == 64 and whole[0]["converged"]
+    assert C.robust_moments(df.limit(0), "x", "y", ["g"]).count() == 0
+
+
+def test_t_ellipse_lies_at_the_stated_radius(spark):
+    points, df = robust_points(spark)
+    out = [r for r in C.group_t_ellipse(df, "x", "y", ["g"], vertices=20).collect() if r["g"] == "g"]
+    centre, scatter, *_ = t_fit(np.array([p[1:] for p in points if p[0] == "g"]))
+    assert len(out) == 20
+    for r in out:
+        gap = np.array([r["x"], r["y"]]) - centre
+        assert gap @ np.linalg.inv(scatter) @ gap == pytest.approx(63 * (0.05 ** (-2 / 63) - 1))
+
+
 def test_missing_pairs_are_refused(spark):
     """Labelled samples without distances, and close pairs only."""
     pairs = [(f"s{i}", f"s{j}", abs(i - j) / 10) for i in range(6) for j in range(i + 1, 6)]
