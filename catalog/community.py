@@ -265,6 +265,31 @@ def _(t):
     return out.withColumn("r", F.round("r", 8))
 
 
+@query(
+    "anosim_ranks",
+    f"""{ANOSIM}, cls AS (SELECT a.stratum <> b.stratum AS between, CASE WHEN a.stratum = b.stratum THEN a.stratum END AS stratum, r
+      FROM ranked JOIN grp a ON a.sample = s1 JOIN grp b ON b.sample = s2)
+    SELECT between, stratum, CAST(p AS DOUBLE) AS prob, count(*) AS n, round(CASE p WHEN 0 THEN quantile_cont(r, 0)
+        WHEN 0.25 THEN quantile_cont(r, 0.25) WHEN 0.5 THEN quantile_cont(r, 0.5) WHEN 0.75 THEN quantile_cont(r, 0.75)
+        ELSE quantile_cont(r, 1) END, 4) AS rank
+    FROM cls, (VALUES (0), (0.25), (0.5), (0.75), (1)) v(p) GROUP BY between, stratum, p""",
+)
+def _(t):
+    out = P.anosim_ranks(stage(bray(t)), stage(groups(t)), "sample", "stratum")
+    return out.withColumn("rank", F.round("rank", 4))
+
+
+@query(
+    "anosim_null_quantiles",
+    f"""{ANOSIM} SELECT CAST(p AS DOUBLE) AS prob, count(*) AS n, round(CASE p WHEN 0.9 THEN quantile_cont(r, 0.9)
+      WHEN 0.95 THEN quantile_cont(r, 0.95) WHEN 0.975 THEN quantile_cont(r, 0.975) ELSE quantile_cont(r, 0.99) END, 7) AS r
+    FROM series, (VALUES (0.9), (0.95), (0.975), (0.99)) v(p) WHERE perm > 0 GROUP BY p""",
+)
+def _(t):
+    series = stage(P.anosim_series(stage(bray(t)), stage(groups(t)), "sample", "stratum", PERMS))
+    return P.null_quantiles(series, "r").withColumn("r", F.round("r", 7))
+
+
 def rounded_table(table):
     return table.select(
         "term",

@@ -149,6 +149,26 @@ def _(t):
     return t.orders.select("o_orderkey", D.local_text(at, "UTC").alias("utc"))
 
 
+@query(
+    "daylight_saving_timestamps",
+    # the rule of the years of the orders: first Sunday of April to last Sunday of October
+    """WITH o AS (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)
+           + to_seconds(CAST(o_orderkey % 1440 AS BIGINT) * 60) AS wall, year(o_orderdate) AS y FROM orders),
+         r AS (SELECT *, make_date(y, 4, 1) + CAST((7 - dayofweek(make_date(y, 4, 1))) % 7 AS INT) AS spring,
+           make_date(y, 10, 31) - CAST(dayofweek(make_date(y, 10, 31)) AS INT) AS fall FROM o),
+         z AS (SELECT *, wall >= spring + INTERVAL 3 HOUR AND wall < fall + INTERVAL 2 HOUR AS summer FROM r)
+       SELECT o_orderkey, strftime(wall + CASE WHEN summer THEN INTERVAL 7 HOUR ELSE INTERVAL 8 HOUR END, '%Y-%m-%d %H:%M:%S') AS utc,
+         strftime(wall + CASE WHEN NOT summer AND wall >= spring + INTERVAL 2 HOUR AND wall < spring + INTERVAL 3 HOUR
+           THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END, '%Y-%m-%d %H:%M:%S') AS local FROM z""",
+)
+def _(t):
+    zone = "America/Los_Angeles"
+    at = D.instant(F.to_date("o_orderdate"), F.col("o_orderkey") % 1440 * 60, zone)
+    return t.orders.select(
+        "o_orderkey", D.local_text(at, "UTC").alias("utc"), D.local_text(at, zone).alias("local")
+    )
+
+
 @query("timestamp_to_date", "SELECT event_id, CAST(ts AS DATE) AS date FROM events")
 def _(t):
     return t.events.select("event_id", F.to_date("ts").alias("date"))

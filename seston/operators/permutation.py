@@ -33,7 +33,7 @@ from seston.operators.distance import (
     to_block_pairs,
 )
 from seston.operators.joins import natural_join
-from seston.operators.ranks import value_positions
+from seston.operators.ranks import avg_rank, quantiles
 
 # Two statistics closer than this are the same; sums are taken in any order.
 TIE = 1.5e-8
@@ -409,6 +409,14 @@ def _variance_table(series: DataFrame) -> DataFrame:
     return one.select(F.inline(rows))
 
 
+def _ranked(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of known samples with the rank of their distance, ties sharing their mean rank."""
+    listed = natural_join(pairs, known.withColumnRenamed("sample", "sample_1"), "semi", ["sample_1"])
+    listed = natural_join(listed, known.withColumnRenamed("sample", "sample_2"), "semi", ["sample_2"])
+    kept = stage(listed.select("sample_1", "sample_2", _known("distance").alias("distance")))
+    return avg_rank(kept, "distance")
+
+
 def anosim_series(
     pairs: DataFrame,
     groups: DataFrame,
@@ -428,13 +436,7 @@ def anosim_series(
     sample only, leave r NULL.
     """
     packed = _labels(groups, sample, group, perms, block_by, order, False)
-    known = packed.select("sample")
-    listed = natural_join(pairs, known.withColumnRenamed("sample", "sample_1"), "semi", ["sample_1"])
-    listed = natural_join(listed, known.withColumnRenamed("sample", "sample_2"), "semi", ["sample_2"])
-    kept = stage(listed.select("sample_1", "sample_2", _known("distance").alias("distance")))
-    places = value_positions(kept, "distance")
-    ranks = places.select("distance", (F.col("below") + (F.col("n") + 1) / 2).alias("rank"))
-    ranked = natural_join(kept, ranks, "left", ["distance"])
+    ranked = _ranked(pairs, packed.select("sample"))
     sums = stage(within_totals(ranked, packed, "rank", block))
     x = _with_whole(sums, _design(_sizes(groups, group)))
     n = F.col("n")
@@ -469,6 +471,39 @@ def anosim(
     )
 
 
+#: probabilities of the quantiles of a summary: ranks of classes, null statistics
+RANK_PROBS = (0.0, 0.25, 0.5, 0.75, 1.0)
+NULL_PROBS = (0.9, 0.95, 0.975, 0.99)
+
+
+def anosim_ranks(
+    pairs: DataFrame, groups: DataFrame, sample: str, group: str, probs: Sequence[float] = RANK_PROBS
+) -> DataFrame:
+    """Ranks of the distances by class of pair: those between groups (``between``
+    true, ``group`` NULL) and those within each group: (between, ``group``, prob,
+    n, rank).
+
+    Ranks are those of ``anosim``, over all pairs of labelled samples. A group of
+    one sample has no pairs and no rows.
+    """
+    known = groups.na.drop(subset=[group]).select(F.col(sample).alias("sample"), F.col(group).alias("group"))
+    ranked = _ranked(pairs, known.select("sample"))
+    for side in ("1", "2"):
+        ends = known.select(F.col("sample").alias(f"sample_{side}"), F.col("group").alias(f"group_{side}"))
+        ranked = natural_join(ranked, ends, "inner", [f"sample_{side}"])
+    between = F.col("group_1") != F.col("group_2")
+    classes = ranked.select(
+        between.alias("between"), F.when(~between, F.col("group_1")).alias(group), F.col("rank")
+    )
+    return quantiles(classes, "rank", probs, ["between", group])
+
+
+def null_quantiles(series: DataFrame, statistic: str, probs: Sequence[float] = NULL_PROBS) -> DataFrame:
+    """Quantiles (prob, n, ``statistic``) of the permuted statistics of a series
+    (perm, statistic), the observed one left out."""
+    return quantiles(series.where("perm > 0"), statistic, probs)
+
+
 def series_pvalue(series: DataFrame, statistic: str) -> DataFrame:
     """Observed statistic and p of any permutation series (perm, statistic)."""
     one = series.agg(
@@ -480,8 +515,10 @@ def series_pvalue(series: DataFrame, statistic: str) -> DataFrame:
 
 __all__: Sequence[str] = (
     "anosim",
+    "anosim_ranks",
     "anosim_series",
     "free_labels",
+    "null_quantiles",
     "permanova",
     "permanova_of",
     "permanova_series",

@@ -121,6 +121,47 @@ def tukey_five(
     return used.groupBy(*by).agg(F.max("total").alias("n"), *middles)
 
 
+def quantiles(
+    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), ranges: int | None = None
+) -> DataFrame:
+    """Exact quantiles (``by``, prob, n, ``value``): the value at place
+    (n - 1) prob + 1, on a straight line between the two rows around it.
+
+    Missing values are left out; groups without values are not there. A group is
+    numbered by ranges like any other, so none has to fit a task.
+    """
+    if not probs or any(not 0 <= p <= 1 for p in probs):
+        raise ValueError(f"probabilities must be between 0 and 1, not {list(probs)!r}")
+    placed = value_positions(df, value, by, ranges)
+    # places in long numbers and parts of a row apart, to the precision of a row number
+    place = [F.round((F.col("total") - 1) * F.lit(float(p)), 6) for p in probs]
+    low = [F.floor(h) + 1 for h in place]
+    high = [F.ceil(h) + 1 for h in place]
+
+    def holds(position: Column) -> Column:
+        return (F.col("below") < position) & (position <= F.col("below") + F.col("n"))
+
+    used = placed.filter(reduce(or_, [holds(h) for h in [*low, *high]]))
+    x = F.col(value).cast("double")
+    ends = [
+        F.struct(
+            F.max(F.when(holds(a), x)).alias("low"),
+            F.max(F.when(holds(b), x)).alias("high"),
+            F.max(h - F.floor(h)).alias("part"),
+        )
+        for h, a, b in zip(place, low, high, strict=True)
+    ]
+    found = used.groupBy(*by).agg(F.max("total").alias("n"), *[e.alias(f"__{i}") for i, e in enumerate(ends)])
+    e = [F.col(f"__{i}") for i in range(len(probs))]
+    rows = [
+        F.struct(F.lit(float(p)).alias("prob"), F.col("n").alias("n"), (s["low"] + s["part"] * (s["high"] - s["low"])).alias(value))
+        for p, s in zip(probs, e, strict=True)
+    ]
+    out = found.select(*by, F.inline(F.array(*rows)))
+    # a global aggregation has a row even without values
+    return out if by else out.where(F.col("n").isNotNull())
+
+
 def share_of(df: DataFrame, value: str, within: Sequence[str], new: str = "share") -> DataFrame:
     """Each row's part of the total of its group; NULL if the total is 0."""
     sums = sum_by(df, list(within), [value]).withColumnRenamed(value, "__total")

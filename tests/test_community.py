@@ -12,6 +12,7 @@ from seston.operators import distance as D
 from seston.operators import monotone as M
 from seston.operators import ordination as N
 from seston.operators import permutation as P
+from seston.operators import ranks as K
 
 
 def matrix(cells):
@@ -420,6 +421,42 @@ def test_t_ellipse_lies_at_the_stated_radius(spark):
         assert gap @ np.linalg.inv(scatter) @ gap == pytest.approx(63 * (0.05 ** (-2 / 63) - 1))
 
 
+def test_summary_of_anosim(spark):
+    rng = random.Random(5)
+    names = {f"s{i}": "ab"[i % 2] if i < 9 else ("lone" if i == 9 else None) for i in range(11)}
+    pairs = [(a, b, rng.randint(1, 20) / 20) for a, b in itertools.combinations(sorted(names), 2)]
+    table = spark.createDataFrame(pairs, "sample_1 string, sample_2 string, distance double")
+    groups = spark.createDataFrame(list(names.items()), "sample string, g string")
+    known = pd.DataFrame([p for p in pairs if names[p[0]] and names[p[1]]], columns=["a", "b", "d"])
+    known["rank"] = known["d"].rank()
+    known["cls"] = [names[a] if names[a] == names[b] else None for a, b in zip(known["a"], known["b"], strict=True)]
+    got = P.anosim_ranks(table, groups, "sample", "g").collect()
+    assert {(r["between"], r["g"]) for r in got} == {(True, None), (False, "a"), (False, "b")} and len(got) == 15
+    for r in got:
+        ranks = known["rank"][known["cls"].isna() if r["between"] else known["cls"] == r["g"]]
+        assert r["n"] == len(ranks) and r["rank"] == pytest.approx(np.quantile(ranks, r["prob"]))
+    series = P.anosim_series(table, groups, "sample", "g", 49)
+    drawn = [r["r"] for r in series.where("perm > 0").collect()]
+    for r in P.null_quantiles(series, "r").collect():
+        assert r["n"] == 49 and r["r"] == pytest.approx(np.quantile(drawn, r["prob"]))
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 1001])
+def test_quantiles(spark, n):
+    rng = random.Random(n)
+    values = [("g", float(rng.randint(1, 60))) for _ in range(n)]
+    df = spark.createDataFrame([*values, ("none", None), (None, 2.0), (None, None)], "g string, v double")
+    probs = [0.0, 0.1, 0.333, 0.5, 0.975, 1.0]
+    got = {(r["g"], r["prob"]): (r["n"], r["v"]) for r in K.quantiles(df, "v", probs, ["g"], 8).collect()}
+    assert len(got) == 12 and got[(None, 0.333)] == (1, 2.0)
+    for p in probs:
+        # a place is kept to a millionth of a row
+        assert got[("g", p)] == (n, pytest.approx(np.quantile([v for _, v in values], p), abs=1e-4))
+    assert K.quantiles(df.where("g = 'none'"), "v", probs).count() == 0
+    with pytest.raises(ValueError, match="probabilities"):
+        K.quantiles(df, "v", [1.5])
+
+
 def test_missing_pairs_are_refused(spark):
     """Labelled samples without distances, and close pairs only."""
     pairs = [(f"s{i}", f"s{j}", abs(i - j) / 10) for i in range(6) for j in range(i + 1, 6)]
