@@ -45,14 +45,14 @@ def _(t):
       CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS rounded FROM lineitem GROUP BY l_suppkey""",
 )
 def _(t):
-    """Sums beyond the whole numbers that a double can hold, and one of doubles that no order of rows changes."""
+    """Sums beyond the whole numbers that a double or a long can hold, and one of doubles that no order of rows changes."""
     rows = t.lineitem.select(
         "l_suppkey",
         (F.col("l_orderkey") * F.lit(10_000_000_000) + F.col("l_partkey")).alias("whole"),
         (F.col("l_extendedprice").cast("decimal(20,4)") * F.lit(100_000_000_000).cast("decimal(12,0)")).alias("price"),
         F.col("l_extendedprice").alias("rounded"),
     )
-    out = S.sum_by(rows, ["l_suppkey"], ["whole", "price", "rounded"], decimals=2)
+    out = S.sum_by(rows, ["l_suppkey"], ["whole", "price", "rounded"], decimals=2, wide=True)
     return out.select("l_suppkey", F.col("whole").cast("string"), F.col("price").cast("string"), "rounded")
 
 

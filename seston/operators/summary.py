@@ -55,22 +55,26 @@ def sum_by(
     na: str = "skip",
     drop_null_keys: bool = False,
     decimals: int | None = None,
+    wide: bool = False,
 ) -> DataFrame:
     """Sums per key. Whole numbers and decimals keep their kind and every digit;
-    a sum beyond it raises an error. Other columns are added as doubles, whose
-    last digits depend on the order of the rows, unless ``decimals`` is given:
-    then each value is rounded to so many decimals and added as a whole number,
-    exactly and in any order.
+    a sum beyond it raises an error, unless ``wide`` is set: then sums of whole
+    numbers are decimals of 38 digits, which hold any that can occur. Other
+    columns are added as doubles, whose last digits depend on the order of the
+    rows, unless ``decimals`` is given: then each value is rounded to so many
+    decimals and added as a whole number, exactly and in any order.
     """
-    return _keep_keys(df, keys, drop_null_keys).groupBy(*keys).agg(*[_summed(df, c, na, decimals).alias(c) for c in cols])
+    sums = [_summed(df, c, na, decimals, wide).alias(c) for c in cols]
+    return _keep_keys(df, keys, drop_null_keys).groupBy(*keys).agg(*sums)
 
 
-def _summed(df: DataFrame, c: str, na: str, decimals: int | None) -> Column:
+def _summed(df: DataFrame, c: str, na: str, decimals: int | None, wide: bool) -> Column:
     kind = df.schema[c].dataType if c in df.columns else None
     if isinstance(kind, T.DecimalType):
         return total(F.col(c), na)
     if isinstance(kind, T.IntegralType):
-        return total(F.col(c).cast("bigint"), na)
+        # a sum has ten digits more than its values
+        return total(F.col(c).cast("decimal(28,0)" if wide else "bigint"), na)
     x = F.col(c).cast("double")
     if decimals is None:
         return total(x, na).cast("double")

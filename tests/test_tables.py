@@ -344,3 +344,27 @@ def test_sums_keep_every_digit(spark, rows):
     assert got == {"a": (big + 2, 0.3, 1.0), "b": (0, 0.0, 0.0)}
     missing = {r["k"]: r["n"] for r in S.sum_by(df, ["k"], ["n"], na="propagate").collect()}
     assert missing == {"a": big + 2, "b": None}
+
+
+def test_wide_sums_go_beyond_longs(spark):
+    most = 2**63 - 1
+    df = spark.createDataFrame([("a", most), ("a", most), ("a", 5), ("b", None), ("c", -most), ("c", -most), ("c", None)], "k string, n long")
+    got = {r["k"]: r["n"] for r in S.sum_by(df, ["k"], ["n"], wide=True).collect()}
+    assert got == {"a": 2 * most + 5, "b": 0, "c": -2 * most}
+    missing = {r["k"]: r["n"] for r in S.sum_by(df, ["k"], ["n"], na="propagate", wide=True).collect()}
+    assert missing == {"a": 2 * most + 5, "b": None, "c": None}
+
+
+def test_exact_sums_of_large_keys(spark, tmp_path):
+    import duckdb
+
+    from catalog import ORACLE, QUERIES
+
+    rows = [(1, 9 * 10**8, 7, 10.25), (1, 9 * 10**8, 8, 0.1), (2, 3, 4, 1.005), (None, 9 * 10**8, 9, 2.5)]
+    table = str(tmp_path / "lineitem.parquet")
+    kinds = "l_suppkey long, l_orderkey long, l_partkey long, l_extendedprice double"
+    spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(table)
+    ours = {tuple(r) for r in QUERIES["exact_sums"](spark, str(tmp_path)).collect()}
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{table}/*.parquet'")
+        assert ours == set(con.execute(ORACLE["exact_sums"]).fetchall())
