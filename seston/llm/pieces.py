@@ -4,7 +4,7 @@ Texts are cut where no piece can cross: before a run of blanks that follows
 something else. The parts that a task has not met yet are joined into one
 string; its suffix array gives the occurrences of every piece by binary search,
 one character of all pieces at a time. The occurrences, as edges sorted by
-position, are then relaxed from left to right.
+position, are then relaxed from left to right, in all parts at a time.
 
 For a byte-pair model an edge is taken if its piece and the piece before it
 stay apart when the two are merged by the model's own rules; this holds for all
@@ -35,6 +35,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 CACHE = 500_000
 AT_ONCE = 400_000
+#: so few parts are encoded one by one
+TOGETHER = 100
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 
@@ -68,14 +70,15 @@ class Model:
                 self.unknown = i if p.type == UNKNOWN else self.unknown
         crossing = any(BLANK in p.lstrip(BLANK) for p in self.id)
         lines = any("\n" in p for p in self.id)
+        # for texts with blanks in place of blank signs
         if crossing:
             self.parts = re.compile("(?s).+")
         elif lines:
-            self.parts = re.compile(f"(?s){BLANK}+[^{BLANK}]*|[^{BLANK}]+")
+            self.parts = re.compile("(?s) +[^ ]*|[^ ]+")
         else:
             marks = self.never_after_letters()
-            ended = f"{BLANK}*[^\\W\\d_]+(?=[{marks}])|" if marks else ""
-            self.parts = re.compile(f"\n|{ended}{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+")
+            ended = f" *[^\\W\\d_]+(?=[{marks}])|" if marks else ""
+            self.parts = re.compile(f"\n|{ended} +[^ \n]*|[^ \n]+")
 
     def never_after_letters(self) -> str:
         """ASCII marks that follow a letter in no piece: a word ends there."""
@@ -92,8 +95,9 @@ class Matcher:
     """Occurrences of all pieces in a text, through its suffix array."""
 
     def __init__(self, model: Model):
-        self._ids = np.array(list(model.id.values()), np.int64)
-        texts = list(model.id)
+        # the longest first, so that occurrences come in this order
+        texts = sorted(model.id, key=len, reverse=True)
+        self._ids = np.array([model.id[t] for t in texts], np.int64)
         self._length = np.array([len(t) for t in texts])
         self.width = int(self._length.max())
         self._codes = np.zeros((len(texts), self.width), np.int64)
@@ -113,7 +117,8 @@ class Matcher:
         return np.argsort(rank, kind="stable")
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Position, piece id and length of every occurrence, by position."""
+        """Position, piece id and length of every occurrence, by position, the
+        longest first."""
         array = self.suffix_array(codes)
         padded = np.concatenate([codes, np.zeros(self.width + 1, codes.dtype)])
         low = np.zeros(len(self._ids), np.int64)
@@ -141,7 +146,7 @@ class Matcher:
         start = np.repeat(low[found] - np.cumsum(count) + count, count)
         at = array[start + np.arange(count.sum())]
         which = np.repeat(found, count)
-        order = np.lexsort((-self._length[which], at))
+        order = np.argsort(at * (self.width + 1) - self._length[which])
         return at[order], self._ids[which][order], self._length[which][order]
 
 
@@ -149,11 +154,15 @@ class Encoder:
     def __init__(self, data: bytes):
         self.model = Model(data)
         self._matcher = Matcher(self.model)
-        self._known: dict[str, list[int]] = {}
-        self._older: dict[str, list[int]] = {}
+        #: ids of parts, as bytes of 32-bit numbers
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         #: by the piece before (None: at the begin of a part), then by the piece
         self._apart: dict[int | None, dict[int, bool]] = {}
         self._pairs = 0
+        #: the same as sorted keys, and what was found since they were sorted
+        self._keys, self._answers = np.array([-1]), np.array([False])
+        self._fresh: list[tuple[np.ndarray, np.ndarray]] = []
 
     def merged(self, text: str) -> list[str]:
         """Segmentation of a short text by merging its best pair of neighbours,
@@ -182,16 +191,92 @@ class Encoder:
             self._pairs += 1
         return known
 
-    def encode_parts(self, parts: list[str]) -> list[list[int]]:
-        joined = "\0".join(parts) + "\0"
+    def all_apart(self, before: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+        """``apart`` of many pairs; -1 for the begin of a part."""
+        n = len(self.model.text)
+        keys = (before + 1) * n + pieces
+        at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
+        answers = self._answers[at]
+        missed = np.flatnonzero(self._keys[at] != keys)
+        if len(missed):
+            new, where = np.unique(keys[missed], return_inverse=True)
+            pairs = zip((new // n).tolist(), (new % n).tolist(), strict=True)
+            found = np.array([self.apart(a - 1 if a else None, b) for a, b in pairs])
+            answers[missed] = found[where]
+            self._fresh.append((new, found))
+        return answers
+
+    def sort_pairs(self) -> None:
+        """Takes what was found into the sorted keys, once it is worth the sort."""
+        if sum(len(k) for k, _ in self._fresh) > len(self._keys) // 20:
+            keys = np.concatenate([self._keys, *[k for k, _ in self._fresh]])
+            answers = np.concatenate([self._answers, *[a for _, a in self._fresh]])
+            self._keys, first = np.unique(keys, return_index=True)
+            self._answers, self._fresh = answers[first], []
+
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        joined = ("\0".join(parts) + "\0").replace(" ", BLANK)
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
         at, ids, length = self._matcher.edges(codes)
-        begin = np.searchsorted(at, np.arange(len(codes) + 1)).tolist()
-        ids, length = ids.tolist(), length.tolist()
-        out, o = [], 0
-        for part in parts:
-            out.append(self.relax(part, o, begin, ids, length))
-            o += len(part) + 1
+        begin = np.searchsorted(at, np.arange(len(codes) + 1))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        stop = np.cumsum(sizes + 1) - 1
+        start = stop - sizes
+        out = self.kept_apart_together(start, stop, begin, ids, length) if self.model.merges else [None] * len(parts)
+        rest = [k for k, found in enumerate(out) if found is None]
+        if rest:
+            begin, ids, length = begin.tolist(), ids.tolist(), length.tolist()
+        for k in rest:
+            found = self.relax(parts[k].replace(" ", BLANK), int(start[k]), begin, ids, length)
+            out[k] = np.array(found, np.int32).tobytes()
+        return out
+
+    def kept_apart_together(
+        self, start: np.ndarray, stop: np.ndarray, begin: np.ndarray, ids: np.ndarray, length: np.ndarray
+    ) -> list[bytes | None]:
+        """``kept_apart`` for all parts, an edge of each at a time. A position is
+        entered once at most, so the path is kept by position. None for parts
+        with a character without a piece, and for the last ones on the way."""
+        size = int(stop[-1]) + 1
+        piece, back = np.full(size + 1, -1), np.zeros(size + 1, np.int64)
+        dead, tried = np.zeros(size + 1, bool), begin.copy()
+        single = begin[1:] > begin[:-1]
+        single[single] = length[begin[1:][single] - 1] == 1
+        without = np.r_[0, np.cumsum(~single)]
+        live = np.flatnonzero(without[start] == without[stop])
+        pos, first, last = start[live], start[live], stop[live]
+        done = np.zeros(len(start), bool)
+        while len(live) > TOGETHER:
+            e = tried[pos]
+            tried[pos] = e + 1
+            left = e < begin[pos + 1]
+            e = np.minimum(e, len(ids) - 1)
+            to = np.minimum(pos + length[e], size)
+            go = np.flatnonzero(left & (to <= last) & ~dead[to])
+            go = go[self.all_apart(piece[pos[go]], ids[e[go]])]
+            over = np.flatnonzero(~left)
+            new = pos.copy()
+            new[go] = to[go]
+            new[over] = back[pos[over]]
+            piece[to[go]], back[to[go]] = ids[e[go]], pos[go]
+            dead[pos[over]] = True
+            done[live[new == last]] = True
+            stay = new != last
+            stay[over] &= pos[over] > first[over]
+            live, pos, first, last = live[stay], new[stay], first[stay], last[stay]
+        self.sort_pairs()
+        taken = np.zeros(size + 1, bool)
+        pos, first = stop[done], start[done]
+        while len(pos):
+            taken[pos] = True
+            pos = back[pos]
+            stay = pos > first
+            pos, first = pos[stay], first[stay]
+        data = piece[taken].astype(np.int32).tobytes()
+        before = 4 * np.r_[0, np.cumsum(taken)]
+        out: list[bytes | None] = [None] * len(start)
+        for k, a, b in zip(np.flatnonzero(done).tolist(), before[start[done]].tolist(), before[stop[done] + 1].tolist(), strict=True):
+            out[k] = data[a:b]
         return out
 
     def relax(self, part: str, o: int, begin: list[int], ids: list[int], length: list[int]) -> list[int]:
@@ -265,12 +350,13 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Ids of every text; what is new in them is matched together."""
-        prefix = BLANK if self.model.dummy_prefix else ""
-        cut = [None if t is None else self.model.parts.findall(prefix + t.replace(" ", BLANK)) if t else [] for t in texts]
+        prefix = " " if self.model.dummy_prefix else ""
+        cut = [None if t is None else self.model.parts.findall(prefix + t.replace(BLANK, " ")) if t else [] for t in texts]
         if len(self._known) > CACHE // 2:  # what is not met again is forgotten
             self._older, self._known = self._known, {}
         if self._pairs > CACHE:
             self._apart, self._pairs = {}, 0
+            self._keys, self._answers, self._fresh = np.array([-1]), np.array([False]), []
         known, older = self._known, self._older
         new = []
         for p in dict.fromkeys(chain.from_iterable(c for c in cut if c)):
@@ -289,7 +375,7 @@ class Encoder:
                 group.append(p)
                 size += len(p) + 1
         get = known.__getitem__
-        return [None if c is None else np.fromiter(chain.from_iterable(map(get, c)), np.int32) for c in cut]
+        return [None if c is None else np.frombuffer(b"".join(map(get, c)), np.int32) for c in cut]
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.model.out.__getitem__, ids)).decode("utf-8", "replace")

@@ -40,3 +40,23 @@ def test_round_trip(spark):
     checked = tokens.where("doc_id < 900").collect()
     assert all(r.round_trip and r.n_tokens == len(r.ids) for r in checked)
     assert encode(docs.limit(0)).collect() == []
+
+
+def test_usual_parts_go_together(monkeypatch):
+    """Only parts with a character without a piece, and the last few, are taken one by one."""
+    import sentencepiece
+
+    from seston.llm.pieces import TOGETHER
+
+    data = open(MODEL, "rb").read()
+    library = sentencepiece.SentencePieceProcessor(model_proto=data)
+    alone = []
+    relax = Encoder.relax
+    monkeypatch.setattr(Encoder, "relax", lambda self, part, *a: alone.append(part) or relax(self, part, *a))
+    rng = random.Random(3)
+    sounds = ["th", "tion", "e", "zung", "keit", "é", "ción", "qu", "ing", "st", "ö", "a"]
+    words = sorted({"".join(rng.choice(sounds) for _ in range(rng.randint(1, 12))) for _ in range(4000)})
+    given = [" ".join(words[i::40]) for i in range(40)] + ["日本 🙂🙂", "▁a  b▁", "x" * 900]
+    for text, ids in zip(given, Encoder(data).encode(given), strict=True):
+        assert ids.tolist() == library.encode(text), repr(text)
+    assert len(words) > 3000 and len(alone) <= TOGETHER + 10
