@@ -222,7 +222,9 @@ class Encoder:
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         stop = np.cumsum(sizes + 1) - 1
         start = stop - sizes
-        out = self.kept_apart_together(start, stop, begin, ids, length) if self.model.merges else [None] * len(parts)
+        out = [None] * len(parts)
+        if self.model.merges and len(parts) > TOGETHER:
+            out = self.kept_apart_together(start, stop, begin, ids, length)
         rest = [k for k, found in enumerate(out) if found is None]
         if rest:
             begin, ids, length = begin.tolist(), ids.tolist(), length.tolist()
