@@ -3,6 +3,8 @@ whole texts in tasks, logistic calibration and connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -222,6 +224,18 @@ def kept_for(key: tuple, build: Callable):
     """What ``build`` returns, kept for later tasks of the same worker; only the
     last thing built is kept."""
     if key not in _KEPT:
-        _KEPT.clear()
+        let_go()
         _KEPT[key] = build()
     return _KEPT[key]
+
+
+def let_go() -> None:
+    """Give back the memory of work before in the same worker: what it kept, and
+    what Arrow and the C library hold for later use. A worker lives on through
+    all stages of a pipeline, beside the JVM of its executor."""
+    _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from seston.durable import Staged
-from seston.llm.common import components, over_texts, unused
+from seston.llm.common import components, let_go, over_texts, unused
 
 WORDS = 3
 #: linked if 100 * intersection >= PERCENT * union
@@ -55,6 +55,8 @@ BLOCK = 512
 STEPS = 3
 #: elements of sets a task keeps while it intersects pairs
 KEPT = 4_000_000
+#: keys of meeting places that a task counts and joins
+KEYS_A_TASK = 400_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -144,9 +146,11 @@ def signature(elements: np.ndarray) -> np.ndarray:
 
 def sketched(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
     """doc_id, mark (hash of the text), n, d1, d2 (digest of the set), signature
-    lanes b0.., keys."""
+    lanes b0.., keys and their number."""
 
     def make():
+        let_go()
+
         def work(texts: list) -> dict[str, pa.Array]:
             sets = [shingle_set(t, words) for t in texts]
             out = {"n": pa.array([len(s) for s in sets], pa.int64())}
@@ -160,6 +164,7 @@ def sketched(docs: DataFrame, doc_id: str, text: str, words: int, percent: int)
             ends = np.cumsum([0] + [len(k) for k in each]).astype(np.int32)
             values = np.concatenate(each).astype(np.uint64).view(np.int64)
             out["keys"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+            out["n_keys"] = pa.array([len(k) for k in each], pa.int64())
             return out
 
         return work
@@ -167,7 +172,13 @@ def sketched(docs: DataFrame, doc_id: str, text: str, words: int, percent: int)
     lanes = ", ".join(f"b{i} bigint" for i in range(LANES))
     mark = F.xxhash64(F.col(text)).alias("mark")
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), mark, F.col(text).alias("text"))
-    return over_texts(base, "text", make, f"n bigint, d1 bigint, d2 bigint, {lanes}, keys array<bigint>")
+    return over_texts(base, "text", make, f"n bigint, d1 bigint, d2 bigint, {lanes}, keys array<bigint>, n_keys bigint")
+
+
+def dealt_by_key(places: DataFrame, total: int) -> DataFrame:
+    """``places``, at most ``total`` rows, in parts that fit a task: the maps and
+    sorts of the count and the join by key take some 300 bytes of heap a row."""
+    return places.repartition(max(1, math.ceil(total / KEYS_A_TASK)), "key")
 
 
 def linked(inter: Column, a: Column, b: Column, percent: int) -> Column:
@@ -189,6 +200,7 @@ def linked_members(words: int, percent: int) -> Callable[[Iterator[pa.RecordBatc
     last met, up to ``KEPT`` elements, are not made again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         unpack = zstandard.ZstdDecompressor().decompress
         known: OrderedDict[int, np.ndarray] = OrderedDict()
         held, head, last, first = 0, None, None, np.empty(0, np.uint64)
@@ -257,7 +269,9 @@ class Join:
         of_class = lambda t: t.withColumnRenamed("row", "id").join(ids, "id", "left_semi")
         small = of_class(self.rows.df).select("id", "doc_id", "mark", "n", *lanes)
         # dealt by key once: the count and the join below read the same shuffle
-        places = of_class(self._wide.df.select("row", "keys")).select("id", F.explode("keys").alias("key")).repartition("key")
+        total = self.rows.df.agg(F.sum("n_keys")).first()[0] or 0
+        places = of_class(self._wide.df.select("row", "keys")).select("id", F.explode("keys").alias("key"))
+        places = dealt_by_key(places, total)
         shared = places.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).where("members > 1")
         met = Staged(places.join(shared, "key"))
         self._wide.drop()
@@ -348,6 +362,7 @@ class Join:
         texts = self._docs.join(of, same).select("a", "k", "id", "text")
 
         def make():
+            let_go()
             pack = zstandard.ZstdCompressor(level=3).compress
 
             def work(texts: list) -> dict[str, pa.Array]:

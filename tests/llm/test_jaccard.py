@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from seston.llm import common, jaccard
 from seston.llm.jaccard import band_of, band_start, jaccard_components, keys, most_apart, one_per_component, shingle_set
 
 
@@ -104,3 +105,33 @@ def test_one_row_of_each_component(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_components(docs).collect() == []
+
+
+def test_workers_let_go_of_what_stages_before_kept(spark, monkeypatch):
+    makers = []
+
+    def seen(df, text, make, added, keep_text=False):
+        makers.append(make)
+        return common.over_texts(df, text, make, added, keep_text)
+
+    monkeypatch.setattr(jaccard, "over_texts", seen)
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d e")], "doc_id long, text string")
+    jaccard_components(docs).collect()
+    assert len(makers) > 1
+    for make in [*makers, lambda: list(jaccard.linked_members(3, 90)(iter([])))]:
+        common.kept_for(("a model",), lambda: "of another stage")
+        make()
+        assert not common._KEPT
+
+
+def test_parts_of_keys_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "KEYS_A_TASK", 100)
+    asked, deal = [], jaccard.dealt_by_key
+    monkeypatch.setattr(jaccard, "dealt_by_key", lambda places, total: asked.append((places, total)) or deal(places, total))
+    rows = fixture(3, docs=40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id is not None, r.doc_id or 0, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in jaccard_components(docs).collect()]
+    assert sorted(got) == expected(rows, 3, 90)
+    (places, total), = asked
+    assert total == sum(len(keys(shingle_set(t, 3), 90)) for _, t in rows) > 400
+    assert deal(spark.range(5).withColumnRenamed("id", "key"), total).rdd.getNumPartitions() == -(-total // 100)
