@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import math
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -18,6 +19,8 @@ from pyspark.sql.types import StructType
 from seston.durable import Staged
 
 SLICE_BYTES = 4_000_000
+#: bits in a row of a sieve (a bitmap of Spark holds as many) and the most rows of one, 8 MB in all
+SIEVE_BITS, SIEVE_ROWS = 32_768, 2_048
 
 
 def fold(doc_id: str, folds: int) -> Column:
@@ -196,6 +199,37 @@ def components(edges: DataFrame) -> DataFrame:
     return names.df.select("id", F.col("to").alias("component"))
 
 
+class Sieve:
+    """The hashes ``h`` of a written table as bits, to tell most rows that are
+    none of them before a join moves them. It has 16 bits a hash, up to
+    ``SIEVE_ROWS`` rows, and is sent to every task. Of very many hashes it holds
+    back fewer rows; it never misses one of them."""
+
+    def __init__(self, hashes: DataFrame):
+        self._rows = min(SIEVE_ROWS, max(1, math.ceil(16 * hashes.count() / SIEVE_BITS)))
+        row, bit = self._spot(F.col("h"))
+        self._bits = Staged(hashes.select(row.alias("row"), bit.alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")))
+
+    def _spot(self, hashed: Column) -> tuple[Column, Column]:
+        spot = F.pmod(hashed, F.lit(self._rows * SIEVE_BITS))
+        return F.shiftright(spot, 15), spot.bitwiseAND(F.lit(SIEVE_BITS - 1))
+
+    def parted(self, df: DataFrame, hashed: Column) -> tuple[DataFrame, DataFrame]:
+        """The rows of ``df`` whose hash may be one of the sieve, and those whose
+        hash is none. A NULL hash is none."""
+        mark = unused("_sieve", df)
+        row, bit = self._spot(hashed)
+        bits = F.broadcast(self._bits.df.select(F.struct("row", "bits").alias(mark)))
+        byte = F.substring(F.col(mark)["bits"], (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))
+        there = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), bit.bitwiseAND(F.lit(7)).cast("int")) == 1
+        both, own = df.join(bits, row == F.col(mark)["row"], "left"), [F.col(f"`{c}`") for c in df.columns]
+        there = F.coalesce(there, F.lit(False))
+        return both.where(there).select(*own), both.where(~there).select(*own)
+
+    def drop(self) -> None:
+        self._bits.drop()
+
+
 #: ASCII bytes that are not letters become blanks; bytes of longer characters stay.
 _LETTERS_ONLY = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: blocks of punctuation and symbols beyond ASCII

@@ -13,8 +13,10 @@ several shingles, so a passage that many texts share is not a meeting place.
 
 *Bounds.* A signature of 512 bits is toggled once per element. The bits in which
 two signatures differ are at most the elements in which the sets differ, which
-bounds the overlap from above. Only pairs that pass get their sets
-intersected, as sorted arrays; they travel as packed texts.
+bounds the overlap from above. Sets so large that most bits of it differ between
+any two have a second one of about a bit per element, for the pairs that pass the
+first. Only pairs that pass get their sets intersected, as sorted arrays; they
+travel as packed texts.
 
 *No pairs of whole groups.* First every set of a meeting place is compared with
 its first one; what this links is connected. Only meeting places that still hold
@@ -22,6 +24,10 @@ sets of different components compare the rest, block against block, and only
 across components. The result is the components, so no link between different
 texts is lost by comparing only what is not connected already.
 
+*Texts travel by block.* Pairs to be intersected are dealt out by the components
+they make and these by blocks, so a text goes once to each pair of blocks, not to
+each partner. Texts that no pair needs are held back where they are read.
+
 * NULL texts and texts without words have the empty set and are linked with
   nothing. A text with fewer words than a shingle is one shingle.
 * Ties do not arise; repeated rows are one class. A NULL id takes part, but
@@ -43,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from seston.durable import Staged
-from seston.llm.common import components, let_go, over_texts, unused
+from seston.llm.common import Sieve, components, let_go, over_texts, unused
 
 WORDS = 3
 #: linked if 100 * intersection >= PERCENT * union
@@ -53,6 +59,8 @@ LANES = BITS // 64
 BLOCK = 512
 #: sizes in a band: this many steps of the largest possible ratio of linked sizes
 STEPS = 3
+#: elements of the sets of a block whose pairs are intersected
+BLOCK_ELEMENTS = 262_144
 #: elements of sets a task keeps while it intersects pairs
 KEPT = 4_000_000
 #: keys of meeting places that a task counts and joins
@@ -144,9 +152,20 @@ def signature(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def long_signature(elements: np.ndarray) -> np.ndarray | None:
+    """A signature of two thirds to four thirds of a bit per element, a power of
+    two; None if it is no longer than the other one. Its halves, one toggled by
+    the other, are the signature of half the length."""
+    bits = 1 << max(0, (4 * len(elements) // 3).bit_length() - 1)
+    if bits <= BITS:
+        return None
+    odd = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketched(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
     """doc_id, mark (hash of the text), n, d1, d2 (digest of the set), signature
-    lanes b0.., keys and their number."""
+    lanes b0.., the long signature, keys and their number."""
 
     def make():
         let_go()
@@ -160,6 +179,7 @@ def sketched(docs: DataFrame, doc_id: str, text: str, words: int, percent: int)
             lanes = np.array([signature(s) for s in sets]).reshape(len(sets), LANES)
             for i in range(LANES):
                 out[f"b{i}"] = pa.array(lanes[:, i])
+            out["long"] = pa.array([long_signature(s) for s in sets], pa.list_(pa.int64()))
             each = [keys(s, percent) for s in sets]
             ends = np.cumsum([0] + [len(k) for k in each]).astype(np.int32)
             values = np.concatenate(each).astype(np.uint64).view(np.int64)
@@ -172,7 +192,7 @@ def sketched(docs: DataFrame, doc_id: str, text: str, words: int, percent: int)
     lanes = ", ".join(f"b{i} bigint" for i in range(LANES))
     mark = F.xxhash64(F.col(text)).alias("mark")
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), mark, F.col(text).alias("text"))
-    return over_texts(base, "text", make, f"n bigint, d1 bigint, d2 bigint, {lanes}, keys array<bigint>, n_keys bigint")
+    return over_texts(base, "text", make, f"n bigint, d1 bigint, d2 bigint, {lanes}, long array<bigint>, keys array<bigint>, n_keys bigint")
 
 
 def dealt_by_key(places: DataFrame, total: int) -> DataFrame:
@@ -185,6 +205,18 @@ def linked(inter: Column, a: Column, b: Column, percent: int) -> Column:
     return 100 * inter >= percent * (a + b - inter)
 
 
+def apart_at_least(x: Column, y: Column) -> Column:
+    """Bits in which two long signatures differ, NULL if one is missing. Of two
+    lengths the longer one is folded; more than twice as long says nothing."""
+    size = F.least(F.size(x), F.size(y))
+
+    def lane(of: Column, i: Column) -> Column:
+        return F.when(F.size(of) == size, F.get(of, i)).otherwise(F.get(of, i).bitwiseXOR(F.get(of, i + size)))
+
+    differ = F.aggregate(F.sequence(F.lit(0), size - 1), F.lit(0), lambda sum_, i: sum_ + F.bit_count(lane(x, i).bitwiseXOR(lane(y, i))))
+    return F.when(x.isNotNull() & y.isNotNull() & (F.greatest(F.size(x), F.size(y)) <= 2 * size), differ)
+
+
 def may_link(a: str, b: str, percent: int) -> Column:
     """Whether sizes and signatures of two rows allow a link."""
     differ = sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(1, LANES)),
@@ -195,22 +227,26 @@ def may_link(a: str, b: str, percent: int) -> Column:
 
 
 def linked_members(words: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The linked pairs (a, b) of rows (a, id, packed text) in the order of a,
-    where the row of a itself comes before those it is compared with; the sets
-    last met, up to ``KEPT`` elements, are not made again."""
+    """The linked pairs (a, b) of rows (g, i, j, id, other, packed) in the order
+    of the cells (g, i, j): first the packed texts of a cell, without ``other``,
+    then its pairs of an id and an other. The sets last met, up to ``KEPT``
+    elements, are not made again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         unpack = zstandard.ZstdDecompressor().decompress
+        texts: dict[int, bytes] = {}
         known: OrderedDict[int, np.ndarray] = OrderedDict()
-        held, head, last, first = 0, None, None, np.empty(0, np.uint64)
+        held, cell = 0, None
 
-        def elements(key: int, packed: bytes) -> np.ndarray:
+        def elements(key: int) -> np.ndarray:
             nonlocal held
             if key in known:
                 known.move_to_end(key)
                 return known[key]
-            found = known[key] = shingle_set(unpack(packed).decode("utf-8", "surrogatepass"), words)
+            if key not in texts:
+                raise RuntimeError("a text is gone that was there before")
+            found = known[key] = shingle_set(unpack(texts[key]).decode("utf-8", "surrogatepass"), words)
             held += len(found)
             while held > KEPT and len(known) > 1:
                 held -= len(known.popitem(last=False)[1])
@@ -224,19 +260,18 @@ def linked_members(words: int, percent: int) -> Callable[[Iterator[pa.RecordBatc
 
         for batch in batches:
             found = []
-            for a, b, packed in zip(*(batch.column(c) for c in ("a", "id", "packed")), strict=True):
-                a, b = a.as_py(), b.as_py()
-                if a == b:
-                    if head != a:
-                        head, first = a, elements(a, packed.as_py())
-                elif head != a:
-                    raise RuntimeError("a text is gone that was there before")
-                elif last != (a, b):  # repeated rows follow each other
-                    other = elements(b, packed.as_py())
-                    shared = common(first, other)
-                    if 100 * shared >= percent * (len(first) + len(other) - shared):
-                        found.append((a, b))
-                last = (a, b)
+            columns = [batch.column(c).to_pylist() for c in ("g", "i", "j", "id", "other")]
+            for row, (*here, a, b) in enumerate(zip(*columns, strict=True)):
+                if here != cell:
+                    cell = here
+                    texts.clear()
+                if b is None:
+                    texts[a] = batch.column("packed")[row].as_py()
+                    continue
+                x, y = elements(a), elements(b)
+                shared = common(x, y)
+                if 100 * shared >= percent * (len(x) + len(y) - shared):
+                    found.append((a, b))
             ends = [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
@@ -267,14 +302,19 @@ class Join:
         lanes = [f"b{i}" for i in range(LANES)]
         ids = self.classes.df.select("id")
         of_class = lambda t: t.withColumnRenamed("row", "id").join(ids, "id", "left_semi")
-        small = of_class(self.rows.df).select("id", "doc_id", "mark", "n", *lanes)
+        small = of_class(self.rows.df).select("id", "doc_id", "mark", "n", *lanes, "long")
         # dealt by key once: the count and the join below read the same shuffle
         total = self.rows.df.agg(F.sum("n_keys")).first()[0] or 0
-        places = of_class(self._wide.df.select("row", "keys")).select("id", F.explode("keys").alias("key"))
-        places = dealt_by_key(places, total)
+        # most rows are the first of their class, as the sieve shows without moving their keys
+        repeats = Staged(self.rows.df.where("n > 0").join(ids, F.col("row") == F.col("id"), "left_anti").select(F.xxhash64("row").alias("h")))
+        sieve = Sieve(repeats.df)
+        doubtful, clear = sieve.parted(self._wide.df.select("row", "keys"), F.xxhash64("row"))
+        places = of_class(doubtful).unionByName(clear.withColumnRenamed("row", "id"))
+        places = dealt_by_key(places.select("id", F.explode("keys").alias("key")), total)
         shared = places.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).where("members > 1")
         met = Staged(places.join(shared, "key"))
-        self._wide.drop()
+        for table in (self._wide, repeats, sieve):
+            table.drop()
         stars = met.df.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
         alike = Staged(self.bounded(stars, small))
         # one pair for each set that is not a first one; the others are compared
@@ -334,32 +374,52 @@ class Join:
         once = (F.col("a.i") < F.col("a.j")) | (F.col("a.id") < F.col("b.id"))
         condition = functools.reduce(lambda x, y: x & y, on) & (F.col("a.c") != F.col("b.c")) & once
         pairs = a.join(b, condition & may_link("a", "b", self._percent))
-        return pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+        pairs = pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+        return self.narrowed(pairs, small)
 
     def bounded(self, pairs: DataFrame, small: DataFrame) -> DataFrame:
         """The pairs (a, b) of class ids whose sizes and signatures allow a link."""
         lanes = [f"b{i}" for i in range(LANES)]
         narrow = small.select("id", "n", *lanes)
         x, y = narrow.alias("x"), narrow.alias("y")
-        return (
+        pairs = (
             pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
             .where(may_link("x", "y", self._percent))
             .select("a", "b")
         )
+        return self.narrowed(pairs, small)
+
+    def narrowed(self, pairs: DataFrame, small: DataFrame) -> DataFrame:
+        """The pairs whose long signatures allow a link, or that lack one."""
+        long = small.where(F.col("long").isNotNull())
+        for c in ("a", "b"):
+            pairs = pairs.join(long.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("long").alias(f"long_{c}")), c, "left")
+        differ = apart_at_least(F.col("long_a"), F.col("long_b")).cast("bigint")
+        may = linked(F.floor((F.col("n_a") + F.col("n_b") - differ) / 2), F.col("n_a"), F.col("n_b"), self._percent)
+        return pairs.where(F.coalesce(may, F.lit(True))).select("a", "b")
 
     def verified(self, pairs: DataFrame, small: DataFrame) -> DataFrame:
         """The pairs (a, b) of class ids that are linked; all passed the bounds.
 
-        The partners of an a are dealt into blocks. A text goes straight to the
-        blocks that need it, so that of a travels once per block."""
+        The ids of a component of the pairs are dealt into blocks, its pairs into
+        cells of two blocks. A text goes straight to the cells that need it."""
         kept = Staged(pairs)
-        blocks = F.ceil(F.count("*") / BLOCK).cast("int")
-        heads = kept.df.groupBy("a").agg(blocks.alias("blocks"))
-        members = kept.df.join(heads, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("k"), F.col("b").alias("id"))
-        heads = heads.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"), F.col("a").alias("id"))
-        of = small.select("id", F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).join(members.unionByName(heads), "id")
+        near = Staged(components(kept.df).join(small.select("id", "n"), "id"))
+        blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_ELEMENTS), F.ceil(F.count("*") / BLOCK)).alias("blocks")
+        dealt = near.df.join(near.df.groupBy("component").agg(blocks), "component")
+        dealt = Staged(dealt.select("id", F.col("component").alias("g"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("k")))
+        of_a = dealt.df.select(F.col("id").alias("a"), "g", F.col("k").alias("_a"))
+        of_b = dealt.df.select(F.col("id").alias("b"), F.col("k").alias("_b"))
+        cell = ["g", F.least("_a", "_b").alias("i"), F.greatest("_a", "_b").alias("j")]
+        cells = Staged(kept.df.join(of_a, "a").join(of_b, "b").select(*cell, "a", "b"))
+        for table in (kept, near, dealt):
+            table.drop()
+        ends = cells.df.select("g", "i", "j", F.explode(F.array("a", "b")).alias("id")).distinct()
+        of = Staged(small.select("id", F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).join(ends, "id"))
+        sieve = Sieve(of.df.select(F.xxhash64("_doc", "_mark").alias("h")))
+        docs, _ = sieve.parted(self._docs, F.xxhash64("doc_id", F.xxhash64("text")))
         same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_mark"))
-        texts = self._docs.join(of, same).select("a", "k", "id", "text")
+        texts = docs.join(of.df, same).select("g", "i", "j", "id", "text")
 
         def make():
             let_go()
@@ -373,8 +433,11 @@ class Join:
 
         # packed texts are much smaller than their sets, of which each element is eight random bytes
         packed = over_texts(texts, "text", make, "packed binary")
-        dealt = packed.repartition("a", "k").sortWithinPartitions("a", "k", F.col("id") != F.col("a"), "id")
-        return dealt.mapInArrow(linked_members(self._words, self._percent), "a bigint, b bigint")
+        rows = packed.withColumn("other", F.lit(None).cast("bigint")).unionByName(
+            cells.df.select("g", "i", "j", F.col("a").alias("id"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("packed"))
+        )
+        rows = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", F.col("other").isNotNull(), "id", "other")
+        return rows.mapInArrow(linked_members(self._words, self._percent), "a bigint, b bigint")
 
 
 def jaccard_components(
@@ -393,6 +456,14 @@ def one_per_component(
     hash. Rows without words are linked with nothing, so each of them stays."""
     join = Join(docs, doc_id, text, words, percent)
     chosen = Staged(join.representatives())
+    keep = chosen.df.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
+    rows = join.rows.df.where("n > 0").select("doc_id", "mark")
+    # rows that agree in id and text are one component, of which one row stays
+    several = rows.join(keep, same, "left_semi").groupBy("doc_id", "mark").count().where("count > 1").drop("count")
+    several = Staged(several)
+    gone = rows.join(keep, same, "left_anti")
+    hashed = Staged(gone.unionByName(several.df).select(F.xxhash64("doc_id", "mark").alias("h")))
     join.rows.drop()
     join.classes.drop()
     its_id, its_mark = F.col(f"`{doc_id}`").cast("bigint"), F.xxhash64(F.col(f"`{text}`"))
@@ -400,15 +471,16 @@ def one_per_component(
     mark = unused("_of", docs)
     keep = chosen.df.select(F.struct("doc_id", "mark").alias(mark))
     same = its_id.eqNullSafe(F.col(mark)["doc_id"]) & (its_mark == F.col(mark)["mark"])
-    kept = docs.where(has_words).join(keep, same, "left_semi")
-    # rows that agree in id and text are one component, of which one row stays
+    # rows without words and rows that are certain to stay are not moved; NULL is the hash of the former
+    doubtful, clear = Sieve(hashed.df).parted(docs, F.when(has_words, F.xxhash64(its_id, its_mark)))
+    hashed.drop()
+    kept = doubtful.join(keep, same, "left_semi")
     place = [its_id.alias("id"), its_mark.alias("mark")]
-    repeated = kept.groupBy(*place).count().where("count > 1").select(F.struct("id", "mark").alias(mark))
-    repeated = Staged(repeated).df
+    repeated = several.df.select(F.struct(F.col("doc_id").alias("id"), "mark").alias(mark))
     if not repeated.isEmpty():
         again = its_id.eqNullSafe(F.col(mark)["id"]) & (its_mark == F.col(mark)["mark"])
         plain = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)]
         whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
         once = kept.join(repeated, again, "left_semi").groupBy(*place).agg(F.min_by(whole, F.xxhash64(*plain)).alias("row"))
         kept = kept.join(repeated, again, "left_anti").unionByName(once.select("row.*"))
-    return kept.unionByName(docs.where(~has_words))
+    return kept.unionByName(clear)

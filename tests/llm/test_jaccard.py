@@ -135,3 +135,76 @@ def test_parts_of_keys_grow_in_number(spark, monkeypatch):
     (places, total), = asked
     assert total == sum(len(keys(shingle_set(t, 3), 90)) for _, t in rows) > 400
     assert deal(spark.range(5).withColumnRenamed("id", "key"), total).rdd.getNumPartitions() == -(-total // 100)
+
+
+def test_long_signatures_bound_the_difference(spark):
+    rng = random.Random(7)
+    rows = []
+    for n, m in ((800, 900), (1500, 1560), (1500, 1500), (3000, 3100), (3000, 9000), (700, 800), (760, 770)):
+        for shared in (0, n // 2, n - 20):
+            a = [str(rng.random()) for _ in range(n)]
+            b = a[:shared] + [str(rng.random()) for _ in range(m - shared)]
+            x, y = shingle_set(" ".join(a), 1), shingle_set(" ".join(b), 1)
+            longs = [None if s is None else s.tolist() for s in map(jaccard.long_signature, (x, y))]
+            rows.append((*longs, len(set(x.tolist()) ^ set(y.tolist())), n, m))
+    docs = spark.createDataFrame(rows, "x array<long>, y array<long>, apart long, n long, m long")
+    got = docs.select("apart", "n", "m", jaccard.apart_at_least(docs.x, docs.y).alias("bits")).collect()
+    assert [r.bits is None for r in got] == [(r.n, r.m) in ((3000, 9000), (700, 800), (760, 770)) for r in got]
+    assert all(r.bits <= r.apart for r in got if r.bits is not None)
+    # 512 bits never differ in as many as linked sets of 3,000 and 3,100 elements may
+    assert [r.bits > 20 * 6100 // 180 for r in got if r.n == 3000 and r.m == 3100] == [True, True, False]
+
+
+def test_a_text_travels_once_to_a_cell(spark, monkeypatch):
+    """Texts of one group, near each other but not linked: each partner took a
+    text of its own, which grows with the square of the group."""
+    rng = random.Random(11)
+    base = [f"x{i}" for i in range(150)]
+    rows = []
+    for i in range(40):
+        words = list(base)
+        for at in range(rng.randrange(12), 150, 12):
+            words[at] = f"{i}_{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join(f"alone{i}_{k}" for k in range(100))) for i in range(60)]
+    packed, over = [], jaccard.over_texts
+
+    def counted(df, text, make, added, keep_text=False):
+        if added.startswith("packed"):
+            packed.append(df.count())
+        return over(df, text, make, added, keep_text)
+
+    monkeypatch.setattr(jaccard, "over_texts", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    join = jaccard.Join(docs, "doc_id", "text", 1, 90)
+    ids = {r.doc_id: r.row for r in join.rows.df.collect()}
+    small = join.rows.df.withColumnRenamed("row", "id")
+    pairs = spark.createDataFrame([(ids[a], ids[b]) for a in range(40) for b in range(a)], "a long, b long")
+    got = {frozenset(r) for r in join.verified(pairs, small).collect()}
+    sets = [set(t.split()) for _, t in rows]
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])
+    assert got == {frozenset((ids[a], ids[b])) for a in range(40) for b in range(a) if alike(a, b)}
+    assert packed == [40]
+
+
+def test_sieve_never_misses(spark):
+    hashes = spark.range(0, 60_000, 3).selectExpr("xxhash64(id) as h")
+    sieve = common.Sieve(hashes)
+    maybe, none = sieve.parted(spark.range(60_000).selectExpr("id", "'t' as _sieve", "id as row"), jaccard.F.xxhash64("id"))
+    found = {r.id for r in maybe.collect()}
+    assert maybe.columns == ["id", "_sieve", "row"] and {i for i in range(0, 60_000, 3)} <= found
+    assert found.isdisjoint(r.id for r in none.collect()) and len(found) + none.count() == 60_000
+    assert len(found) < 24_000  # one in sixteen of the others
+    maybe, none = common.Sieve(hashes.limit(0)).parted(spark.range(5), jaccard.F.xxhash64("id"))
+    assert (maybe.count(), none.count()) == (0, 5)
+    maybe, none = sieve.parted(spark.range(5), jaccard.F.lit(None).cast("bigint"))
+    assert (maybe.count(), none.count()) == (0, 5)
+
+
+def test_repeated_rows_and_texts_of_one_id(spark):
+    rows = [(1, "a b c d", "x"), (1, "a b c d", "y"), (1, "a b c d e f", "z"), (2, "a b c d", "x"), (3, "", "x"), (3, "", "x"), (None, "q r s", "x"), (None, "q r s", "x"), (4, "t u v", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `_sieve` string")
+    got = one_per_component(docs)
+    assert got.columns == docs.columns
+    found = sorted((r.doc_id or 0, r.text) for r in got.collect())
+    assert found == [(0, "q r s"), (1, "a b c d"), (1, "a b c d e f"), (3, ""), (3, ""), (4, "t u v")]
